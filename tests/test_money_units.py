@@ -48,14 +48,14 @@ def test_found_rounds_half_up_and_reads_other_columns(spark, tmp_path):
     from siltstone.operators.money_units import p5_found, p5_review
 
     u = "https://a.example/1"
-    rows = [(i, f"USD {1000 + i}", "USD" if i % 2 else None, None, u, "x", "") for i in range(40)]
-    rows += [(100 + i, f"{1000 + i} EUR", "EUR" if i % 2 else None, None, u, "x", "") for i in range(40)]
-    rows += [(900, "2,500", "GBP", None, u, "x", ""), (901, "16", None, "Amounts are stated in thousands of US dollars.", u, "x", ""), (902, "777", None, None, u, "x", "")]
+    rows = [(i, f"USD {10 ** (2 + i % 5)}", "USD" if i % 2 else None, None, u, "x", "") for i in range(40)]
+    rows += [(100 + i, f"{10 ** (2 + i % 5)} EUR", "EUR" if i % 2 else None, None, u, "x", "") for i in range(40)]
+    rows += [(900, "2,500", "EUR", None, u, "x", ""), (901, "16", None, "Amounts are stated in thousands of US dollars.", u, "x", ""), (902, "777", None, None, u, "x", "")]
     rows += [(903, "€0.5", None, None, None, None, ""), (903, "€0.5", None, None, None, None, ""), (904, None, "EUR", None, u, "x", "")]
     _folder(spark, tmp_path, rows, [(1, "€5,000-€10,000", None, u, None)])
     got = {(r.table_name, r.row_id): (r.low_eur, r.high_eur) for r in p5_found(spark, str(tmp_path)).collect()}
     assert got[("funding_data", 903)] == (1, 1) and got[("failure_data", 1)] == (5000, 10000)
-    assert got[("funding_data", 901)] == (14720, 14720) and got[("funding_data", 900)] == (2925, 2925)
+    assert got[("funding_data", 901)] == (14720, 14720) and got[("funding_data", 900)] == (2500, 2500)
     assert ("funding_data", 902) not in got and ("funding_data", 904) not in got
     assert [r.row_id for r in p5_review(spark, str(tmp_path)).collect()] == [902]
 

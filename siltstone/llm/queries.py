@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from siltstone.llm import leakage, site_lines, tokens, truncation
+from siltstone.llm import leakage, residue, site_lines, tokens, truncation, wrappers
 from siltstone.plans.catalog import Query, shipped
 
 QUERIES: dict[str, Query] = {
     name: shipped(plan)
     for name, plan in {
+        "p1_found": wrappers.p1_found,
+        "p1_body": wrappers.p1_body,
         "p2_found": site_lines.p2_found,
         "p2_report": site_lines.p2_report,
         "p2_clean": site_lines.p2_clean,
+        "p3_found": residue.p3_found,
         "p8_ids": tokens.p8_ids,
         "p8_stats": tokens.p8_stats,
         "p9_found": leakage.p9_found,

@@ -291,7 +291,7 @@ def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
-        urls, lines, body = [], [], []
+        urls, lines, body, heads = [], [], [], []
         for names, packed, keys, openers in zip(f["urls"], f["streams"], f["keys"], f["openers"]):
             frame = set(keys) if keys is not None else set()
             opening = set(openers) if openers is not None else set()
@@ -302,14 +302,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 urls.append(url)
                 lines.append(out)
                 body.append([i for i, k in enumerate(page[1]) if k & KIND != BLANK and i not in gone])
-        yield pd.DataFrame({"url": urls, "outside": lines, "body": body})
+                heads.append([i for i, k in enumerate(page[1]) if k & KIND == TITLE and i not in gone])
+        yield pd.DataFrame({"url": urls, "outside": lines, "body": body, "heads": heads})
 
 
 def segmented(pages: DataFrame) -> DataFrame:
-    """(url, outside, body): the non-blank lines of each page outside and inside its main body."""
+    """(url, outside, body, heads): the non-blank lines of each page outside and inside its main body, and its title lines."""
     parts = buckets(pages)
     rows = parts.select("site", "urls", "streams").join(frames(parts), "site", "left")
-    return rows.drop("site").mapInPandas(_read, "url string, outside array<bigint>, body array<bigint>")
+    return rows.drop("site").mapInPandas(_read, "url string, outside array<bigint>, body array<bigint>, heads array<bigint>")
 
 
 def crawl(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,8 +6,8 @@ profiles meet in blocks, matched ones merge, the merged profile unites spellings
 enter blocking again, until a round merges nothing.
 
 Blocks are made of one whole name part and the deletion variants of the other, so that spellings one edit apart meet
-without comparing all names of a block; identical spellings are one row whatever their number. A rarer spelling one edit
-away from a much commoner one is a typing error; two common ones are two names. An initial joins the only profile that it
+without comparing all names of a block; identical spellings are one row whatever their number. A name part one
+edit away from another is a typing error of it; two parts that are both well attested are two names. An initial joins the only profile that it
 can stand for, by its further initials if need be, and none if several remain.
 
 Defined results: null and blank names give no row; a name equal to another but for case, accents, titles, order, legal form
@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 from siltstone import session
 from siltstone.sources.tables import table
 
-#: A spelling is a typing error of another if it is not more frequent than this share of it, or rarer than RARE.
+#: One edit apart, a name part is a typing error of another, unless both are written in several ways (with titles,
+#: accents, in other order …) as real names are, and the rarer has more rows than RARE and than this share of the other's.
 TYPO_SHARE, RARE = 0.2, 2
 #: A word is a given name if it stands first so often, and mostly first.
 GIVEN = 5
@@ -208,12 +209,12 @@ def _rounds(member: DataFrame, edges_of) -> DataFrame:
 
 
 def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:
-    """Edges (a, b) of profiles (entity, x, y, n, known) that share the part whole, their other part being one edit apart."""
-    keys = profile.select("entity", "n", "known", F.col(whole).alias("w"), F.col(edited).alias("e"), F.explode(_deletions(F.col(edited))).alias("d")).where(F.length("e") > 3)
-    other = keys.select("w", "d", F.col("entity").alias("b"), F.col("n").alias("m"), F.col("e").alias("f"), F.col("known").alias("known_b"))
+    """Edges (a, b) of profiles (entity, x, y, n, ways, known) that share the part whole, their other part being one edit apart."""
+    keys = profile.select("entity", "n", "ways", "known", F.col(whole).alias("w"), F.col(edited).alias("e"), F.explode(_deletions(F.col(edited))).alias("d")).where(F.length("e") > 3)
+    other = keys.select("w", "d", F.col("entity").alias("b"), F.col("n").alias("m"), F.col("ways").alias("ways_b"), F.col("e").alias("f"), F.col("known").alias("known_b"))
     pairs = keys.withColumnRenamed("entity", "a").join(other, ["w", "d"]).where(F.col("a") < F.col("b"))
     low, high = F.least("n", "m"), F.greatest("n", "m")
-    pairs = pairs.where((low <= RARE) | (low <= TYPO_SHARE * high))
+    pairs = pairs.where((F.least("ways", "ways_b") < 2) | (low <= RARE) | (low <= TYPO_SHARE * high))
     if edited == "x":  # two given names in use are two names
         pairs = pairs.where(~(F.col("known") & F.col("known_b")) | (F.col("e") == F.col("f")))
     pairs = pairs.select("a", "b", "e", "f").distinct()
@@ -222,9 +223,7 @@ def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:
 
 def _person_edges(member: DataFrame) -> DataFrame:
     spelt = member.where(~F.col("initial"))
-    size = member.groupBy("entity").agg(F.sum("n").alias("n"))
-    sides = spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("own"), F.max("known").alias("known"))
-    profile = sides.join(size, "entity").drop("own")
+    profile = spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("known").alias("known"))
     edges = _typing_errors(profile, "x", "y").unionByName(_typing_errors(profile, "y", "x"))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     # A short form of several names stands for the one that the surname has.
@@ -272,8 +271,7 @@ def resolve_persons(spellings: DataFrame) -> DataFrame:
 
 
 def _organisation_edges(member: DataFrame) -> DataFrame:
-    size = member.groupBy("entity").agg(F.sum("n").alias("n"))
-    profile = member.select("entity", "x", "y").distinct().join(size, "entity").withColumn("known", F.lit(False))
+    profile = member.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways")).withColumn("known", F.lit(False))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     return _typing_errors(profile, "y", "x").unionByName(same)
 

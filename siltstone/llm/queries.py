@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import leakage, residue, site_lines, tokens, truncation, wrappers
+from siltstone.llm import leakage, names, residue, site_lines, tokens, truncation, wrappers
 from siltstone.plans.catalog import Query, shipped
 
 QUERIES: dict[str, Query] = {
@@ -14,6 +14,8 @@ QUERIES: dict[str, Query] = {
         "p2_report": site_lines.p2_report,
         "p2_clean": site_lines.p2_clean,
         "p3_found": residue.p3_found,
+        "p6_found": names.p6_found,
+        "p6_entities": names.p6_entities,
         "p8_ids": tokens.p8_ids,
         "p8_stats": tokens.p8_stats,
         "p9_found": leakage.p9_found,

@@ -199,9 +199,10 @@ def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]]]:
                 continue
             entry = stats.setdefault(key, [0, 0, 0, 0, 0, 0])
             follower = full[at + 1][1] & KIND if at + 1 < len(full) else SHORT
+            second = full[at + 2][1] & KIND if at + 2 < len(full) else SHORT
             entry[0] += key not in counted
             entry[1] += 1
-            entry[2] += follower == HEADING
+            entry[2] += follower == HEADING and second != PROSE  # one title before prose is a section
             entry[3] += follower == PROSE
             entry[4] += base == PROSE
             entry[5] += bool(kind & (BRAND | LINK))
@@ -276,7 +277,7 @@ def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
             links = key in openers or (links and base != PROSE)
         elif kind & (LINK | BYLINE) or before.get(i) in openers:
             pass
-        elif i in parts and sum(p == 1 or p in frame for p in parts[i]) >= 0.6 * len(parts[i]):
+        elif i in parts and sum(p == 1 or p in frame for p in parts[i]) >= 0.75 * len(parts[i]):
             pass
         elif kind & BRAND and base != PROSE:
             pass

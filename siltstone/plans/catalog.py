@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone import session
 from siltstone.operators import money_units, packed_values, timestamps
+from siltstone.plans import merges, scalars
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +66,7 @@ register("p4_found", packed_values.p4_found)
 register("p5_found", money_units.p5_found)
 register("p5_review", money_units.p5_review)
 register("p7_found", timestamps.p7_found)
+
+for _module in (scalars, merges):
+    for _name, (_plan, _sql) in _module.QUERIES.items():
+        register(_name, _plan, _sql)

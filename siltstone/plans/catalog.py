@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone import session
 from siltstone.operators import money_units, packed_values, timestamps
-from siltstone.plans import aggregates, merges, scalars
+from siltstone.plans import aggregates, merges, scalars, similarity
 from siltstone.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,6 @@ register("p5_found", money_units.p5_found)
 register("p5_review", money_units.p5_review)
 register("p7_found", timestamps.p7_found)
 
-for _module in (scalars, merges, aggregates):
+for _module in (scalars, merges, aggregates, similarity):
     for _name, (_plan, _sql) in _module.QUERIES.items():
         register(_name, _plan, _sql)

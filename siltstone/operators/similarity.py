@@ -16,11 +16,19 @@ from siltstone import session
 QUERY_BLOCK = 2_000
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, though body names it often (within lambdas it would be computed each time)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(text: Column, words: int = 5) -> Column:
     """Hashes of the runs of so many words of a text, distinct; a shorter text is one run."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    run = F.transform(F.sequence(F.lit(0), F.size(tokens) - words), lambda i: F.xxhash64(F.slice(tokens, i + 1, words)))
-    return F.when(F.size(tokens) >= words, F.array_distinct(run)).when(F.size(tokens) > 0, F.array(F.xxhash64(tokens))).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(tokens: Column) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.size(tokens) - words), lambda i: F.xxhash64(F.slice(tokens, i + 1, words)))
+        return F.when(F.size(tokens) >= words, F.array_distinct(run)).when(F.size(tokens) > 0, F.array(F.xxhash64(tokens))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0), runs)
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:

@@ -104,7 +104,8 @@ QUALITY_GATE = rf"""WITH d AS (SELECT doc_id, lower({CLEAN.format("text")}) AS l
 def claim_support(spark: SparkSession, folder: str) -> DataFrame:
     """How much of a problem's tokens its evidence holds; echo: the evidence says nothing but the title."""
     e = evidence(spark, folder, "evidence_id", "problem", "evidence", "title").where("problem IS NOT NULL AND evidence IS NOT NULL").distinct()
-    p, v, t = (text.tokens_a(F.coalesce(c, F.lit(""))) for c in ("problem", "evidence", "title"))
+    e = e.withColumns({n: text.tokens_a(F.coalesce(c, F.lit(""))) for n, c in (("p", "problem"), ("v", "evidence"), ("t", "title"))})
+    p, v, t = F.col("p"), F.col("v"), F.col("t")
     words = F.filter(p, lambda w: (F.length(w) > 4) | w.rlike("^[0-9]+$"))
     held = F.filter(words, lambda w: F.exists(v, lambda x: (x == w) | (F.length(w) > 5) & (F.left(x, F.length(w) - 1) == F.left(w, F.length(w) - 1))))
     return e.select(

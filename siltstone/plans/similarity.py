@@ -22,7 +22,7 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
     Copies of one shingle set are one row of the join; links counts the different sets that a document's set is similar to.
     """
-    docs = table(spark, folder, "documents", "doc_id", "text").withColumn("elements", F.array_sort(similarity.shingles(F.coalesce("text", F.lit("")))))
+    docs = session.spread(table(spark, folder, "documents", "doc_id", "text")).withColumn("elements", F.array_sort(similarity.shingles(F.coalesce("text", F.lit("")))))
     key = F.struct(F.size("elements"), F.xxhash64("elements"), F.xxhash64(F.lit(5), F.col("elements")))
     docs = session.cut(docs.select("doc_id", "elements", F.when(F.size("elements") > 0, key).alias("key")))
     sets = docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("elements").alias("elements"))

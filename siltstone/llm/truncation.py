@@ -23,6 +23,8 @@ from siltstone.sources.tables import table
 #: Lengths of sentence openings that are compared, and sentences that must share one.
 OPENINGS = (16, 8, 4)
 SHARED = 2
+#: Sentences that must open with a phrase per text that ends with it, if several do.
+FORMULA = 3
 #: Characters from which an unfinished sentence is long.
 LONG = 30
 #: Grid of prefix lengths by which whole texts meet; a text is looked up at the largest that it reaches.
@@ -56,23 +58,28 @@ def _last(body: Column) -> tuple[Column, Column]:
 
 
 def _openings(df: DataFrame) -> DataFrame:
-    """(size, h) of the openings that SHARED or more finished sentences of the corpus have."""
+    """(size, h, n) of the openings that SHARED or more finished sentences of the corpus have, with their number."""
     sentences = F.split("text", r"(?<=[.!?])[\"'”’»)]*\s+|[\r\n]+")
     finished = F.filter(sentences, lambda s: s.rlike(r"[.!?][)\"'”’»]*$|”$|\)$") & (F.length(s) > 24))
     each = df.where(F.length("text") > 24).select(F.explode(F.transform(finished, lambda s: _digits(F.trim(s)))).alias("s"))
     keys = F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(F.substring("s", 1, n)).alias("h")) for n in OPENINGS])
-    return each.select(F.inline(keys)).groupBy("size", "h").count().where(F.col("count") >= SHARED).select("size", "h")
+    return each.select(F.inline(keys)).groupBy("size", "h").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
 
 
 def _by_sentence(ends: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Open texts whose last sentence opens like finished ones."""
+    """Open texts whose last sentence opens like finished ones.
+
+    A phrase with which many texts end (a date, an office) is a closing formula unless far more sentences open with it.
+    """
     piece = _digits(F.col("piece"))
+    closing = ends.groupBy(piece.alias("p")).agg(F.count("*").alias("m"))
     # A long stretch of words without an end needs a shorter common opening than a phrase that may stand by itself.
     size = F.when(F.length(piece) > LONG, F.lit(8)).otherwise(F.coalesce(*[F.when(F.length(piece) >= n, F.lit(n)) for n in OPENINGS]))
     short = ends.where(F.col("piece").rlike(r"^[¿¡“«]?\p{Lu}\p{L}{0,2}$") & (F.col("piece") != F.col("line"))).select("doc_id")
     keyed = ends.withColumn("size", size).where(F.col("size").isNotNull())
     keyed = keyed.withColumn("h", F.xxhash64(piece.substr(F.lit(1), F.col("size"))))
-    return keyed.join(_openings(corpus), ["size", "h"], "left_semi").select("doc_id").unionByName(short)
+    hits = keyed.withColumn("p", piece).join(_openings(corpus), ["size", "h"]).join(closing, "p")
+    return hits.where((F.col("m") == 1) | (F.col("n") >= FORMULA * F.col("m"))).select("doc_id").unionByName(short)
 
 
 def _by_word(ends: DataFrame, corpus: DataFrame) -> DataFrame:

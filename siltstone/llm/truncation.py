@@ -14,6 +14,11 @@ pairs, and identical texts are joined once.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +39,9 @@ _OMISSION = (
     r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…|[\[(](?:truncated|cut|continued|more|abridged)[\])])"
     r"\s*[\[(]?(?:(?i)read more|continue reading|see more|more|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo|truncated)?[\])]?[.…»›>→]*\s*$"
 )
-_CLOSED = r"(?s)^.*(?:[.!?。！？][)\"'”’»\]*_]*|[”»]|(?:^|\n)[^\n]*\([^\n()]*\)|(?:^|\n)[^\n]*\[[^\n\[\]]*\])$"
+#: An omission mark lies within so many last characters.
+_MARK = 120
+_CLOSED = r"(?:[.!?。！？][)\"'”’»\]*_]*|[”»]|\([^()]*\)|\[[^\[\]]*\])$"
 
 
 def _digits(text: Column) -> Column:
@@ -42,31 +49,64 @@ def _digits(text: Column) -> Column:
 
 
 def endings(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, source, text) with body (text without trailing space and omission mark), marked and open."""
+    """docs (doc_id, source, text) with body (text without trailing space and omission mark), its last line, marked and open."""
     trimmed = F.regexp_replace("text", r"[\s\p{Z}\x{200b}\x{feff}]+$", "")
-    marked = trimmed.rlike(_OMISSION)
-    body = F.when(marked, F.regexp_replace(F.regexp_replace(trimmed, _OMISSION, ""), r"\s+$", "")).otherwise(trimmed)
-    df = docs.where(F.col("text").isNotNull()).withColumns({"marked": marked, "body": body})
-    return df.withColumn("open", (F.col("body") != "") & ~F.col("body").rlike(_CLOSED))
-
-
-def _last(body: Column) -> tuple[Column, Column]:
-    """(last line, last unfinished sentence) of a text."""
-    line = F.regexp_extract(body, r"([^\n\r]*)$", 1)
-    piece = F.regexp_extract(line, r"^(?s:.*[.!?][)\"'”’»]*\s+)?(.*)$", 1)
-    return F.trim(line), F.trim(piece)
-
-
-def _openings(df: DataFrame) -> DataFrame:
-    """(size, h, n) of the openings that SHARED or more finished sentences of the corpus have, with their number."""
-    sentences = F.split("text", r"(?<=[.!?])[\"'”’»)]*\s+|[\r\n]+")
-    finished = F.filter(sentences, lambda s: s.rlike(r"[.!?][)\"'”’»]*$|”$|\)$") & (F.length(s) > 24))
-    each = df.where(F.length("text") > 24).select(F.explode(F.transform(finished, lambda s: _digits(F.trim(s)))).alias("s"))
-    keys = F.array(*[F.struct(F.lit(n).alias("size"), F.xxhash64(F.substring("s", 1, n)).alias("h")) for n in OPENINGS])
-    return each.select(F.inline(keys)).groupBy("size", "h").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
-
-
-def _by_sentence(ends: DataFrame, corpus: DataFrame) -> DataFrame:
+    df = docs.where(F.col("text").isNotNull()).withColumn("body", trimmed)
+    tail = F.right("body", F.lit(_MARK))
+    df = df.withColumn("marked", tail.rlike(_OMISSION))
+    head = F.left("body", F.greatest(F.length("body") - _MARK, F.lit(0)))
+    bare = F.regexp_replace(F.concat(head, F.regexp_replace(tail, _OMISSION, "")), r"\s+$", "")
+    df = df.withColumn("body", F.when(F.col("marked"), bare).otherwise(F.col("body")))
+    df = df.withColumn("line", F.trim(F.substring_index(F.replace("body", F.lit("\r"), F.lit("\n")), "\n", -1)))
+    return df.withColumn("open", (F.col("body") != "") & ~F.col("line").rlike(_CLOSED))
+
+
+def _piece(line: Column) -> Column:
+    """The unfinished sentence at the end of a line."""
+    return F.trim(F.regexp_extract(line, r"^(?s:.*[.!?][)\"'”’»]*\s+)?(.*)$", 1))
+
+
+_SPLIT = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|[\r\n]+")
+_FINISHED = re.compile(r"[.!?][)\"'”’»]*$|”$|\)$")
+_NUMBER = re.compile(r"\d+")
+_WORD = re.compile(r"[^\W\d_]+(?=[\W\d_])")
+_HEAD = re.compile(r"#{1,6} .{1,80}")
+#: Different keys that a task counts before it hands them on.
+KEYS = 400_000
+
+
+def _witnesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial counts of what the corpus has: openings of finished sentences (kind = length), words (0) and headings (1)."""
+    counts: Counter = Counter()
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame({"kind": [k for k, _ in counts], "k": pd.Series([k for _, k in counts], dtype=object), "n": list(counts.values())}).astype({"kind": "int64", "n": "int64"})
+
+    for f in batches:
+        for text in f["text"]:
+            # A word counts where something follows it; the end of a text is no witness for its own last word.
+            counts.update((0, w) for w in _WORD.findall(text.lower()))
+            for s in _SPLIT.split(text):
+                s = s.strip()
+                if len(s) > 24 and _FINISHED.search(s, len(s) - 8):
+                    s = _NUMBER.sub("0", s[:80])
+                    counts.update((n, s[:n]) for n in OPENINGS)
+                elif s.startswith("#") and _HEAD.fullmatch(s):
+                    counts[1, s] += 1
+        if len(counts) > KEYS:
+            yield out()
+            counts.clear()
+    if counts:
+        yield out()
+
+
+def witnesses(corpus: DataFrame) -> DataFrame:
+    """(kind, k, n): what stands in SHARED places of the corpus or more, counted over all texts in one pass."""
+    parts = corpus.select("text").mapInPandas(_witnesses, "kind bigint, k string, n bigint")
+    return session.cut(parts.groupBy("kind", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED))
+
+
+def _by_sentence(ends: DataFrame, seen: DataFrame) -> DataFrame:
     """Open texts whose last sentence opens like finished ones.
 
     A phrase with which many texts end (a date, an office) is a closing formula unless far more sentences open with it.
@@ -76,31 +116,25 @@ def _by_sentence(ends: DataFrame, corpus: DataFrame) -> DataFrame:
     # A long stretch of words without an end needs a shorter common opening than a phrase that may stand by itself.
     size = F.when(F.length(piece) > LONG, F.lit(8)).otherwise(F.coalesce(*[F.when(F.length(piece) >= n, F.lit(n)) for n in OPENINGS]))
     short = ends.where(F.col("piece").rlike(r"^[¿¡“«]?\p{Lu}\p{L}{0,2}$") & (F.col("piece") != F.col("line"))).select("doc_id")
-    keyed = ends.withColumn("size", size).where(F.col("size").isNotNull())
-    keyed = keyed.withColumn("h", F.xxhash64(piece.substr(F.lit(1), F.col("size"))))
-    hits = keyed.withColumn("p", piece).join(_openings(corpus), ["size", "h"]).join(closing, "p")
+    keyed = ends.withColumns({"kind": size.cast("bigint"), "p": piece}).where(F.col("kind").isNotNull())
+    keyed = keyed.withColumn("k", F.col("p").substr(F.lit(1), F.col("kind").cast("int")))
+    hits = keyed.join(seen.where("kind > 1"), ["kind", "k"]).join(closing, "p")
     return hits.where((F.col("m") == 1) | (F.col("n") >= FORMULA * F.col("m"))).select("doc_id").unionByName(short)
 
 
-def _by_word(ends: DataFrame, corpus: DataFrame) -> DataFrame:
+def _by_word(ends: DataFrame, seen: DataFrame) -> DataFrame:
     """Open texts whose last word is none of the corpus's words but begins a longer one."""
-    last = ends.where(~F.col("line").rlike(r"://\S*$|@\S*$|^```")).select("doc_id", F.regexp_extract("body", r"(?:^|[\s\p{P}])(\p{L}+)$", 1).alias("w"))
-    last = last.where(F.col("w") != "")
-    # A word counts where something follows it; the end of a text is no witness for its own last word.
-    words = corpus.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}+)(?=[^\p{L}])"), 1)).alias("w"))
-    words = session.cut(words.groupBy(F.lower("w").alias("w")).count().where(F.col("count") >= SHARED).select("w"))
-    lower = last.withColumn("w", F.lower("w"))
-    unknown = lower.join(words, "w", "left_anti")
+    last = ends.where(~F.col("line").rlike(r"://\S*$|@\S*$|^```")).select("doc_id", F.lower(F.regexp_extract("line", r"(?:^|[\s\p{P}])(\p{L}+)$", 1)).alias("w"))
+    words = seen.where("kind = 0").select(F.col("k").alias("w"))
+    unknown = last.where(F.col("w") != "").join(words, "w", "left_anti")
     starts = words.where(F.length("w") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w") - 1, F.lit(40))), lambda n: F.substring("w", F.lit(1), n))).alias("w"))
     return unknown.join(starts.distinct(), "w", "left_semi").select("doc_id")
 
 
-def _by_heading(ends: DataFrame, corpus: DataFrame) -> DataFrame:
+def _by_heading(ends: DataFrame, seen: DataFrame) -> DataFrame:
     """Open texts that end within a heading: longer headings continue their last line, and no other text has it whole."""
-    heads = F.filter(F.transform(F.split("text", r"[\r\n]+"), lambda s: F.trim(s)), lambda s: s.rlike(r"^#{1,6} .{1,80}$"))
     cut = ends.where(F.col("line").rlike(r"^#{1,6}(?: .{0,80})?$")).select("doc_id", "line")
-    lines = corpus.where(F.col("text").contains("#")).select(F.explode(heads).alias("line")).groupBy("line").count().where(F.col("count") >= SHARED)
-    lines = session.cut(lines.select("line"))
+    lines = seen.where("kind = 1").select(F.col("k").alias("line"))
     starts = lines.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("line") - 1), lambda n: F.substring("line", F.lit(1), n))).alias("line"))
     starts = starts.select(F.rtrim("line").alias("line")).distinct()
     return cut.join(lines, "line", "left_anti").join(starts, "line", "left_semi").select("doc_id")
@@ -133,12 +167,13 @@ def truncated(docs: DataFrame) -> DataFrame:
     """(doc_id) of the documents (doc_id, source, text) that were cut."""
     docs = session.spread(docs.select("doc_id", "source", "text"))
     ends = endings(docs).where("open")
-    line, piece = _last(F.col("body"))
-    ends = session.cut(ends.select("doc_id", "marked", "body", line.alias("line"), piece.alias("piece")))
+    ends = session.cut(ends.select("doc_id", "marked", "body", "line", _piece(F.col("line")).alias("piece")))
     corpus = docs.where(F.col("text").isNotNull())
     found = ends.where("marked").select("doc_id")
-    for level in (_by_sentence, _by_word, _by_heading, _by_copy):
-        found = found.unionByName(level(ends.where(~F.col("marked")), corpus))
+    open_, seen = ends.where(~F.col("marked")), witnesses(corpus)
+    for level in (_by_sentence, _by_word, _by_heading):
+        found = found.unionByName(level(open_, seen))
+    found = found.unionByName(_by_copy(open_, corpus))
     return found.distinct()
 
 

@@ -53,10 +53,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has cut; results that were not written elsewhere can no longer be read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there and survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siltstone/{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return out.select(*columns) if columns else out

@@ -35,7 +35,7 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
     an idempotent writer (the batch number is in the path), and the last batch of a key holds.
     """
     spark = stream.sparkSession
-    base = f"{session.shared_dir(spark)}/siltstone/stream-{uuid.uuid4().hex}"
+    base = f"{session.work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")

@@ -188,7 +188,7 @@ def write_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str
     ranks = load_ranks(vocabulary)
     keys = sorted({w.encode() for w in words})
     image = compile_lexicon(keys, [merge(k, ranks) for k in keys])
-    url = f"{session.shared_dir(spark)}/siltstone/lexicon-{uuid.uuid4().hex}.bin"
+    url = f"{session.work_dir(spark)}/lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(url)
     out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)

@@ -39,6 +39,8 @@ _OMISSION = (
     r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…|[\[(](?:truncated|cut|continued|more|abridged)[\])])"
     r"\s*[\[(]?(?:(?i)read more|continue reading|see more|more|weiterlesen|mehr lesen|lire la suite|leer más|seguir leyendo|truncated)?[\])]?[.…»›>→]*\s*$"
 )
+#: White space and invisible characters.
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200D))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: An omission mark lies within so many last characters.
 _MARK = 120
 _CLOSED = r"(?:[.!?。！？][)\"'”’»\]*_]*|[”»]|\([^()]*\)|\[[^\[\]]*\])$"
@@ -50,12 +52,11 @@ def _digits(text: Column) -> Column:
 
 def endings(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, text) with body (text without trailing space and omission mark), its last line, marked and open."""
-    trimmed = F.regexp_replace("text", r"[\s\p{Z}\x{200b}\x{feff}]+$", "")
-    df = docs.where(F.col("text").isNotNull()).withColumn("body", trimmed)
+    df = docs.where(F.col("text").isNotNull()).withColumn("body", F.rtrim("text", F.lit(_SPACE)))
     tail = F.right("body", F.lit(_MARK))
     df = df.withColumn("marked", tail.rlike(_OMISSION))
     head = F.left("body", F.greatest(F.length("body") - _MARK, F.lit(0)))
-    bare = F.regexp_replace(F.concat(head, F.regexp_replace(tail, _OMISSION, "")), r"\s+$", "")
+    bare = F.rtrim(F.concat(head, F.regexp_replace(tail, _OMISSION, "")), F.lit(_SPACE))
     df = df.withColumn("body", F.when(F.col("marked"), bare).otherwise(F.col("body")))
     df = df.withColumn("line", F.trim(F.substring_index(F.replace("body", F.lit("\r"), F.lit("\n")), "\n", -1)))
     return df.withColumn("open", (F.col("body") != "") & ~F.col("line").rlike(_CLOSED))
@@ -152,9 +153,13 @@ def _by_copy(ends: DataFrame, corpus: DataFrame) -> DataFrame:
     asked = ends.withColumn("size", F.length("body")).where(F.col("size") >= GRID[0])
     cell = F.array_max(F.filter(grid, lambda g: g <= F.col("size")))
     asked = asked.select("doc_id", "size", both(F.col("body")).alias("whole"), F.struct(cell.alias("g"), F.xxhash64(F.expr("substring(body, 1, array_max(filter(array(" + ",".join(map(str, GRID)) + "), g -> g <= size)))")).alias("h")).alias("cell"))
+    start = lambda c: F.xxhash64(F.left(c, F.lit(GRID[0])))
     asked = session.cut(asked)
     lengths = asked.groupBy("cell").agg(F.collect_set("size").alias("sizes"))
-    texts = corpus.select("text").where(F.length("text") > GRID[0]).withColumn("t", F.xxhash64("text"))
+    # Only texts that begin like one that asks can answer: one hash per text decides, and few texts go on.
+    begins = session.cut(ends.where(F.length("body") >= GRID[0]).select(start(F.col("body")).alias("s")).distinct())
+    near = corpus.select("doc_id", start(F.col("text")).alias("s")).join(begins, "s", "left_semi").select("doc_id")
+    texts = session.cut(corpus.where(F.length("text") > GRID[0]).join(near, "doc_id", "left_semi").select("text").distinct()).withColumn("t", F.xxhash64("text"))
     cells = texts.select("t", F.explode(F.transform(F.filter(grid, lambda g: g < F.length("text")), lambda g: F.struct(g.alias("g"), F.xxhash64(F.substring("text", F.lit(1), g)).alias("h")))).alias("cell")).distinct()
     wanted = cells.join(lengths, "cell").groupBy("t").agg(F.array_distinct(F.flatten(F.collect_list("sizes"))).alias("sizes"))
     answers = texts.join(wanted, "t").where(F.size("sizes") > 0)

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 def dense_months(df: DataFrame, key: str, month: str, value: str) -> DataFrame:
     """(key, month, value) with a zero row for every month between the first and the last one of the whole table."""
-    span = df.agg(F.min(month).alias("a"), F.max(month).alias("b"))
-    spine = span.where(F.col("a").isNotNull()).select(F.explode(F.sequence(F.to_date(F.concat("a", F.lit("-01"))), F.to_date(F.concat("b", F.lit("-01"))), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias(month))
-    keys = df.select(key).distinct()
-    # The spine has a row per month of the calendar, the only side of this product that is repeated.
-    grid = keys.crossJoin(F.broadcast(spine))
+    # First and last month are scalar subqueries, so the spine is an expression of each key and no product of tables.
+    bound = lambda f: F.to_date(F.concat(df.agg(f(month)).scalar(), F.lit("-01")))
+    spine = F.explode(F.sequence(bound(F.min), bound(F.max), F.expr("interval 1 month")))
+    grid = df.select(key).distinct().select(key, spine.alias("_d")).select(key, F.date_format("_d", "yyyy-MM").alias(month))
     return grid.join(df, [key, month], "left").select(key, month, F.coalesce(value, F.lit(0)).alias(value))
 
 

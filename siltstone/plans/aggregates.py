@@ -91,8 +91,8 @@ def emerging_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Title tokens by how far their count in the latest year exceeds the mean over all prior years; top 25."""
     calls = table(spark, folder, "funding_data", "year", "title").where("year IS NOT NULL AND title IS NOT NULL")
     terms = calls.select("year", F.explode(text.tokens_a(F.col("title"))).alias("term")).groupBy("year", "term").agg(F.count("*").alias("n"))
-    span = calls.agg(F.max("year").alias("latest"), (F.count_distinct("year") - 1).alias("prior"))
-    t = terms.crossJoin(F.broadcast(span))  # one row of scalars
+    latest, prior = calls.agg(F.max("year")).scalar(), calls.agg(F.count_distinct("year") - 1).scalar()
+    t = terms.withColumns({"latest": latest, "prior": prior})
     now, before = F.sum(F.when(F.col("year") == F.col("latest"), F.col("n")).otherwise(0)), F.sum(F.when(F.col("year") < F.col("latest"), F.col("n")).otherwise(0))
     out = t.groupBy("term").agg(now.alias("now"), before.alias("before"), F.max("prior").alias("prior"))
     delta = F.col("now") - F.col("before") / F.greatest(F.col("prior"), F.lit(1))

@@ -71,8 +71,7 @@ TAG_ENRICHMENT = f"""WITH g AS (SELECT evidence_id, array_to_string(list_sort(li
 def source_rescore(spark: SparkSession, folder: str) -> DataFrame:
     """Sites rescored from the evidence that cites them within a year before the newest row of all."""
     e = evidence(spark, folder, urls.host(F.col("source_url")).alias("site"), F.try_to_timestamp("retrieved_at").alias("t"), "layer", "evidence_id").where("site IS NOT NULL AND t IS NOT NULL").distinct()
-    newest = e.agg(F.max("t").alias("top"))
-    recent = e.join(F.broadcast(newest), F.col("t") >= F.col("top") - F.expr("interval 365 days"))  # one row
+    recent = e.where(F.col("t") >= e.agg(F.max("t")).scalar() - F.expr("interval 365 days"))
     g = recent.groupBy("site").agg(F.count("*").alias("n"), F.count_distinct("layer").alias("layers"))
     score = F.least(F.lit(0.95), 0.45 + 0.08 * F.least("n", F.lit(5)) + 0.04 * F.least("layers", F.lit(3)))
     return g.select("site", "n", "layers", F.round(score, 4).alias("relevance"), F.round(F.least(F.lit(0.95), 0.6 + 0.02 * F.least("n", F.lit(4))), 4).alias("trust"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,27 @@ EXACT_DUPLICATES = "SELECT source_url, min(evidence_id) AS first, count(*) AS re
 _COS = "sh / sqrt((sh + (na - sh) * 1.9753313) * (sh + (nb - sh) * 1.9753313))"
 
 
+def near_in_time(rows: DataFrame, keys: list[str], source: str, day: str, rec: str, days: int) -> DataFrame:
+    """(a, b): links between records of one key and different sources at most so many days apart, enough of them to connect
+    what all such pairs would connect, but linear in the rows.
+
+    Rows meet in overlapping bins of days + 1, so any two within the band share one. Within a bin, in the order of days,
+    rows of one source in a row form a run; each row is linked with the end of the run before and the start of the run
+    after, its nearest rows of another source. By induction on the distance these links connect every qualifying pair.
+    """
+    size = days + 1
+    one = rows.withColumn("_bin", F.explode(F.array(F.floor(F.unix_date(day) / size), F.floor(F.unix_date(day) / size) - 1)))
+    by = [*keys, "_bin"]
+    w = Window.partitionBy(*by).orderBy(day, source, rec)
+    start = F.when(F.lag(source).over(w).eqNullSafe(F.col(source)), 0).otherwise(1)
+    runs = one.withColumn("_s", start).withColumn("_run", F.sum("_s").over(w))
+    ends = runs.groupBy(*by, "_run").agg(F.min(F.struct(day, rec)).alias("_first"), F.max(F.struct(day, rec)).alias("_last"))
+    after = ends.select(*by, (F.col("_run") - 1).alias("_run"), F.col("_first").alias("_n"))
+    before = ends.select(*by, (F.col("_run") + 1).alias("_run"), F.col("_last").alias("_n"))
+    links = runs.join(after.unionByName(before), [*by, "_run"]).where(F.abs(F.datediff(F.col(f"_n.{day}"), F.col(day))) <= days)
+    return links.select(F.least(rec, f"_n.{rec}").alias("a"), F.greatest(rec, f"_n.{rec}").alias("b")).where("a <> b").distinct()
+
+
 def lineage(spark: SparkSession, folder: str) -> DataFrame:
     """Events retold elsewhere: problems of one area, different sources, at most three days apart, whose pair
     cosine is 0.82 or more, by connected group. A cosine of 0.82 needs a Jaccard of 0.8 or more, so the join is exact."""
@@ -87,15 +108,12 @@ def lineage(spark: SparkSession, folder: str) -> DataFrame:
     pairs = similarity.jaccard_pairs(sets, NEAR, ["area"])
     cosine = similarity.pair_cosine(F.col("shared"), F.col("na"), F.col("nb"))
     near = pairs.where(cosine >= 0.82).select("a", "b").unionByName(sets.select(F.col("id").alias("a"), F.col("id").alias("b")))
-    near = near.unionByName(near.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = near.select(F.struct("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
     member = session.cut(e.join(sets, ["area", "elements"]).select("id", "evidence_id", "source_id", "day"))
-    # A tuple per set, source and day: records that agree in all three are told by their smallest id alone. Days meet in
-    # bins of four, each row also in the bin before, so that a band of three days is an equality.
-    told = member.groupBy("id", "source_id", "day").agg(F.min("evidence_id").alias("rec")).where("day IS NOT NULL").withColumn("bin", F.floor(F.unix_date("day") / 4))
-    left = told.select("id", "source_id", "day", "rec", F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"))
-    right = told.select(F.col("id").alias("id_b"), F.col("source_id").alias("source_b"), F.col("day").alias("day_b"), F.col("rec").alias("rec_b"), F.explode(F.array("bin", F.col("bin") - 1)).alias("bin"))
-    edges = left.join(near, left.id == near.a).join(right, (F.col("b") == F.col("id_b")) & (left.bin == right.bin))
-    edges = edges.where((F.abs(F.datediff("day", "day_b")) <= 3) & (F.col("rec") < F.col("rec_b")) & ~F.col("source_id").eqNullSafe(F.col("source_b"))).select(F.col("rec").alias("a"), F.col("rec_b").alias("b")).distinct()
+    # Records that agree in set, source and day are told by their smallest id alone.
+    told = member.where("day IS NOT NULL").groupBy("id", "source_id", "day").agg(F.min("evidence_id").alias("rec"))
+    rows = told.join(near, "id").withColumn("source_id", F.coalesce("source_id", F.lit("")))
+    edges = near_in_time(rows, ["pair"], "source_id", "day", "rec", 3)
     groups = graphs.components(edges)
     return groups.select(F.col("id").alias("evidence_id"), F.col("component").alias("event"))
 

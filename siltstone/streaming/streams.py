@@ -70,7 +70,7 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of a user that end after an hour of silence."""
     e = source(spark, folder).withWatermark("ts", LATE)
     rows = run(e.groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n")), "complete")
-    rows = rows.join(F.broadcast(rows.agg(F.max("batch").alias("batch"))), "batch")  # one row: the last batch has all
+    rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar())  # the last batch has all
     return rows.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("start"), "n")
 
 

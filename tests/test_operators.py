@@ -83,3 +83,17 @@ def test_merges(spark):
     assert (o["k"].observation_count, o["k"].first_v, o["k"].latest_v, o["k"].v_variants) == (4, "a", "z", ["a", "b", "z"])
     sync = merging.sync(spark.createDataFrame([("a", "active"), ("b", "x")], "s string, status string"), spark.createDataFrame([("b",), ("c",)], "s string"), "s")
     assert sorted(map(tuple, sync.collect())) == [("a", "active", "deprecate"), ("b", "x", "update"), ("c", None, "insert")]
+
+
+def test_near_in_time_connects_what_all_pairs_would(spark):
+    import datetime as dt
+
+    from siltstone.plans.similarity import near_in_time
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        rows = [(rng.choice("kl"), rng.choice("abc"), dt.date(2024, 1, 1) + dt.timedelta(rng.randint(0, 40)), f"r{i:02}") for i in range(30)]
+        pairs = [(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[0] == y[0] and x[1] != y[1] and abs((x[2] - y[2]).days) <= 3]
+        df = spark.createDataFrame(rows, "key string, source string, day date, rec string")
+        got = [(r.a, r.b) for r in near_in_time(df, ["key"], "source", "day", "rec", 3).collect()]
+        assert set(got) <= set(pairs) and components(got) == components(pairs)

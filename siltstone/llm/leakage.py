@@ -113,3 +113,12 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     """Per evaluation item: the documents that hold it; 0 for those that leaked nowhere."""
     items = table(spark, folder, "eval_items", "item_id", "suite")
     return items.join(p9_found(spark, folder), "item_id", "left").groupBy("item_id", "suite").agg(F.count("doc_id").alias("docs"))
+
+
+def _grams_sql(key: str, text: str, table: str) -> str:
+    words = rf"regexp_extract_all(lower(regexp_replace({text}, '[\p{{Cf}}\x{{034f}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180d}}\x{{fe00}}-\x{{fe0f}}]+', '', 'g')), '[\p{{L}}\p{{N}}]+')"
+    return f"SELECT {key}, unnest(list_transform(range(len(w) - {RUN - 1}), lambda k: array_to_string(w[k + 1:k + {RUN}], ' '))) AS s FROM (SELECT {key}, {words} AS w FROM {table} WHERE {text} IS NOT NULL) WHERE len(w) >= {RUN}"
+
+
+P9_SQL = f"WITH d AS ({_grams_sql('doc_id', 'text', 'documents')}), i AS ({_grams_sql('item_id', 'item_text', 'eval_items')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (s)"
+P9_ITEMS_SQL = f"SELECT item_id, suite, count(doc_id) AS docs FROM eval_items LEFT JOIN ({P9_SQL}) USING (item_id) GROUP BY item_id, suite"

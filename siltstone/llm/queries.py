@@ -24,4 +24,4 @@ QUERIES: dict[str, Query] = {
         "p10_sources": truncation.p10_sources,
     }.items()
 }
-SQL: dict[str, str] = {"p2_found": site_lines.P2_SQL}
+SQL: dict[str, str] = {"p2_found": site_lines.P2_SQL, "p2_clean": site_lines.P2_CLEAN_SQL, "p9_found": leakage.P9_SQL, "p9_items": leakage.P9_ITEMS_SQL}

@@ -110,10 +110,11 @@ def witnesses(corpus: DataFrame) -> DataFrame:
 def _by_sentence(ends: DataFrame, seen: DataFrame) -> DataFrame:
     """Open texts whose last sentence opens like finished ones.
 
-    A phrase with which many texts end (a date, an office) is a closing formula unless far more sentences open with it.
+    A phrase with which many texts end (a date, an office) is a closing formula unless far more sentences open with it;
+    copies of a text count once.
     """
     piece = _digits(F.col("piece"))
-    closing = ends.groupBy(piece.alias("p")).agg(F.count("*").alias("m"))
+    closing = ends.groupBy(piece.alias("p")).agg(F.count_distinct(F.xxhash64("body")).alias("m"))
     # A long stretch of words without an end needs a shorter common opening than a phrase that may stand by itself.
     size = F.when(F.length(piece) > LONG, F.lit(8)).otherwise(F.coalesce(*[F.when(F.length(piece) >= n, F.lit(n)) for n in OPENINGS]))
     short = ends.where(F.col("piece").rlike(r"^[¿¡“«]?\p{Lu}\p{L}{0,2}$") & (F.col("piece") != F.col("line"))).select("doc_id")

@@ -77,3 +77,20 @@ def test_frontier(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     assert sorted(map(tuple, robots.frontier(seeds, links, 2).collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert sorted(map(tuple, robots.frontier(seeds, links, 9, 1).collect())) == [("a", 0), ("c", 1)]
+
+
+def test_binary_documents(spark, tmp_path):
+    import zipfile
+
+    from siltstone.sources import binary
+
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", "<w:document><w:p><w:r><w:t>Hello </w:t><w:t xml:space='preserve'>A&amp;B</w:t></w:r></w:p><w:p></w:p><w:p w:x='1'><w:r><w:t>Second</w:t></w:r></w:p></w:document>")
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>name</t></si><si><r><t>va</t></r><r><t>lue</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", '<sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>7</v></c><c r="B2" t="inlineStr"><is><t>x</t></is></c></row></sheetData>')
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    (tmp_path / "d.txt").write_text("not read")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in binary.documents(spark, str(tmp_path)).collect()}
+    assert got["a.docx"] == ("Hello A&B\nSecond", None) and got["b.xlsx"] == ("name\tvalue\n7\tx", None)
+    assert got["c.docx"][0] is None and "BadZipFile" in got["c.docx"][1] and len(got) == 3

@@ -41,12 +41,13 @@ SITES = 3
 TITLES = 0.75
 
 BLANK, TITLE, PROSE, HEADING, SHORT, MULTI = range(6)
-LINK, BRAND, BYLINE = 8, 16, 32
+LINK, BRAND, BYLINE, PATH = 8, 16, 32, 64
 KIND = 7
 
 _SPACE = re.compile(r"[\s  -​ 　﻿]+")
 _DIGITS = re.compile(r"\d+")
 _SEPARATOR = re.compile(r"\s+[|>»›·•/]\s+|[\s ]{2,}")
+_STEP = re.compile(r"\s[>»›/]\s")
 _SENTENCE = re.compile(r"[.!?…。！？][)\"'”’»\]]*$")
 _ANCHOR = re.compile(r"<a\b[^>]*>([^<]{2,400})</a>\s*(?=[<\n])", re.IGNORECASE)
 _BEFORE = re.compile(r"[>\n]\s*$")
@@ -116,6 +117,7 @@ def stream(text: str, title: str | None, html: str | None, site: str | None) ->
             kind = HEADING if words > 3 else SHORT
         if len(pieces) > 1 and kind != TITLE:
             parts[no] = [1 if _SPACE.sub(" ", p) in heads else token(_DIGITS.sub("#", _SPACE.sub(" ", p.replace(brand, "{b}") if brand else p))) for p in pieces]
+            kind |= PATH if _STEP.search(bare) else 0
         if low in links:
             kind |= LINK
         if brand and brand in low:
@@ -279,6 +281,8 @@ def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
             pass
         elif i in parts and sum(p == 1 or p in frame for p in parts[i]) >= 0.75 * len(parts[i]):
             pass
+        elif kind & PATH and all(p in frame for p in parts[i][:-1]):
+            pass  # a path may end in a title that is not known
         elif kind & BRAND and base != PROSE:
             pass
         elif links and base in (HEADING, SHORT, MULTI, TITLE):
@@ -296,7 +300,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for names, packed, keys, openers in zip(f["urls"], f["streams"], f["keys"], f["openers"]):
             frame = set(keys) if keys is not None else set()
             opening = set(openers) if openers is not None else set()
-            for url, raw in zip(names, packed):
+            # A repeated row lies in the same bucket; pages of one url are read once per different stream.
+            for url, raw in dict.fromkeys(zip(names, packed)):
                 page = pickle.loads(raw)
                 out = outside(page, frame, opening)
                 gone = set(out)

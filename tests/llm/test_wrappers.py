@@ -57,3 +57,11 @@ def test_very_long_and_empty_texts(pages):
     got = {r.url: (list(r.outside), list(r.body)) for r in segmented(pages(rows)).collect()}
     assert got == {"https://a.example/1": ([], [0]), "https://a.example/2": ([], []), "u": ([], [])}
     assert segmented(pages(rows).limit(0)).count() == 0
+
+
+def test_path_of_a_page_without_title(pages):
+    rows, want = site(random.Random(5), "alphaport.example", 40)
+    url, final, _, html, text, day = rows[0]
+    rows[0] = (url, final, None, html, text, day)
+    got = {r.url: sorted(r.outside) for r in segmented(pages(rows)).collect()}
+    assert got == want

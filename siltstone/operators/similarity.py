@@ -133,8 +133,9 @@ def top_k(df: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
 def vector_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(qid, id, cosine, rank): V5, for each query (qid, vector) the k rows (id, vector) of largest cosine, without itself.
 
-    Exact: a block of queries is one matrix on the workers, each batch of rows one product with it. A null or zero
-    vector has no neighbours.
+    Exact: a block of queries is one matrix on the workers, each batch of rows one product with it. Cosines are rounded to
+    six places before any row is dropped, and the smallest id comes first on a tie, in a batch as in the whole: the result
+    depends neither on batches nor on the order of rows. A null or zero vector has no neighbours.
     """
     spark = rows.sparkSession
     schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("cosine", T.DoubleType())])
@@ -156,10 +157,12 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 f = f[f["vector"].notna()]
                 if not len(f):
                     continue
+                f = f.iloc[np.argsort(f["id"].to_numpy(), kind="stable")]
                 own = f["id"].to_numpy()
                 cosine = np.nan_to_num(matrix @ unit(f["vector"]).T, nan=-2.0)
+                cosine = np.trunc(cosine * 1e6 + np.copysign(0.5, cosine)) / 1e6  # halves go away from zero, as in SQL
                 cosine[ids[:, None] == own[None, :]] = -2.0
-                top = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 4]
+                top = np.argsort(-cosine, axis=1, kind="stable")[:, :k]  # by id on a tie, as the rows are in order of ids
                 out = pd.DataFrame({"qid": np.repeat(ids, top.shape[1]), "id": own[top.ravel()], "cosine": np.take_along_axis(cosine, top, 1).ravel()})
                 yield out[out["cosine"] > -1.5]
 
@@ -167,5 +170,4 @@ def vector_search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         parts = one if parts is None else parts.unionByName(one)
     if parts is None:
         parts = spark.createDataFrame([], schema)
-    rounded = parts.withColumn("cosine", F.round("cosine", 6))
-    return top_k(rounded, "qid", k, -F.col("cosine"), F.col("id"))
+    return top_k(parts, "qid", k, -F.col("cosine"), F.col("id"))

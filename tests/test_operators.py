@@ -35,6 +35,13 @@ def test_token_and_vector_search(spark):
     assert [r.id for r in near] == [1, 2]
 
 
+def test_vector_search_takes_the_smallest_ids_of_many_copies(spark):
+    rows = [(i, [1.0, 1.0]) for i in range(60, 0, -1)] + [(0, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id int, vector array<float>").coalesce(1).sortWithinPartitions(F.desc("id"))
+    near = similarity.vector_search(v.where("id = 0").withColumnRenamed("id", "qid"), v, 3).orderBy("rank").collect()
+    assert [(r.id, r.cosine) for r in near] == [(1, 0.707107), (2, 0.707107), (3, 0.707107)]
+
+
 def components(edges):
     parent = {}
 

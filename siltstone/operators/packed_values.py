@@ -112,12 +112,17 @@ def _clean(piece: str, first: bool) -> str:
     return re.sub(r"\\(['\"\\])", r"\1", piece).strip()
 
 
+def _edges(spans: list[tuple[int, int]], text: str) -> list[tuple[int, int]]:
+    """The spans without the blanks at their ends."""
+    return [(a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip())) for a, b in spans]
+
+
 def cover(parts: list[tuple[int, int, bool]], text: str, automaton: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
     """Spans of the best cover of the pieces: known values over several pieces stay whole, by dynamic programming."""
     spans = [(a, b) for a, b, _ in parts]
     if automaton is None or len(parts) < 2:
         return spans
-    edges = [(a + len(text[a:b]) - len(text[a:b].lstrip()), b - len(text[a:b]) + len(text[a:b].rstrip())) for a, b in spans]
+    edges = _edges(spans, text)
     first, last = {a: k for k, (a, _) in enumerate(edges)}, {b: k for k, (_, b) in enumerate(edges)}
     whole: dict[int, list[int]] = {}
     for end, size in automaton.iter(text.lower()):
@@ -189,20 +194,35 @@ def automaton_of(known: list[str]) -> ahocorasick.Automaton | None:
 
 
 def _joined_spans(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """rows with the known values (column found) that stand in each, by a join: for dictionaries too large to send."""
+    """rows with the known values (column found) that stand in each, by a join: for dictionaries too large to send.
+
+    A span of pieces is a candidate if some known value has its length, whatever its number of pieces; so the join finds
+    what the automaton would. The lengths are few: their sum is at most the characters of the dictionary.
+    """
+    lengths = rows.sparkSession.sparkContext.broadcast(sorted(r.n for r in known.select(F.length("known").alias("n")).distinct().collect()))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def spans(values: pd.Series) -> pd.Series:
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sizes, longest = set(lengths.value), lengths.value[-1] if lengths.value else 0
+
         def of(value):
             text = (value or "").strip()
-            parts = segments(text)
-            return [text[parts[i][0] : parts[j][1]].strip().lower() for i in range(len(parts)) for j in range(i + 1, min(i + 6, len(parts)))]
-
-        return values.map(of)
-
-    hits = rows.select("table_name", "row_id", F.explode(spans("value")).alias("known")).join(known, "known", "left_semi")
-    hits = hits.groupBy("table_name", "row_id").agg(F.collect_set("known").alias("found"))
-    return rows.join(hits, ["table_name", "row_id"], "left")
+            low, edges, out = text.lower(), _edges([(a, b) for a, b, _ in segments(text)], text), set()
+            for i, (a, _) in enumerate(edges):
+                for j in range(i + 1, len(edges)):
+                    if (n := edges[j][1] - a) > longest:
+                        break
+                    if n in sizes:
+                        out.add(low[a : edges[j][1]])
+            return list(out)
+
+        for values in batches:
+            yield values.map(of)
+
+    # Values are joined, not rows: copies are searched once, and a row needs no id.
+    hits = rows.select("value").where("value IS NOT NULL").distinct().select("value", F.explode(spans("value")).alias("known")).join(known, "known", "left_semi")
+    hits = hits.groupBy("value").agg(F.collect_set("known").alias("found"))
+    return rows.join(hits, "value", "left")
 
 
 def explode_values(rows: DataFrame) -> DataFrame:

@@ -46,3 +46,16 @@ def test_join_instead_of_the_automaton_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(packed_values, "AUTOMATON_CHARS", 0)
     assert sorted(map(tuple, explode_values(df).collect())) == one
     assert ("t", 9, 1, "p, q") in one
+
+
+def test_join_keeps_known_values_of_many_pieces(spark, monkeypatch):
+    from siltstone.operators import packed_values
+
+    long = ", ".join("abcdefghij")
+    rows = [("t", i, f'["{long}", "p; q"]') for i in range(3)] + [("t", 9, f"x; {long.upper()} ; p; q"), ("t", None, f"{long}; y")]
+    df = spark.createDataFrame(rows, "table_name string, row_id bigint, value string")
+    one = sorted(map(repr, explode_values(df).collect()))
+    monkeypatch.setattr(packed_values, "AUTOMATON_CHARS", 0)
+    got = explode_values(df).collect()
+    assert sorted(map(repr, got)) == one
+    assert [r.item_text for r in sorted(got, key=lambda r: r.item_pos) if r.row_id == 9] == ["x", long.upper(), "p; q"]

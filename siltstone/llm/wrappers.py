@@ -178,9 +178,9 @@ def align(wrapper: list[int], tokens: list[int]) -> list[int]:
     return out + wrapper[done:]
 
 
-def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]]]:
+def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]], list[int]]:
     """(the wrapper's literals in order, {token: [pages, places, followed by titles, followed by prose, is prose, has the
-    site's name]}) of the streams of one bucket."""
+    site's name]}, the tokens of one page that are no elements) of the streams of one bucket."""
     seen: Counter = Counter()
     for keys, kinds, _, parts in pages:
         own = {k for k, c in zip(keys, kinds) if k and c & KIND != TITLE}
@@ -214,18 +214,18 @@ def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]]]:
                 if key != 1 and key not in counted and seen[key] > 1:
                     counted.add(key)
                     stats.setdefault(key, [0, 0, 0, 0, 0, 0])[0] += 1
-    return wrapper, stats
+    return wrapper, stats, [k for k in seen if k not in stats]
 
 
-_BUCKETS = "site string, bucket int, pages int, urls array<string>, streams array<binary>, element array<struct<key:bigint,n:int,places:int,titles:int,prose:int,is_prose:int,own:int>>"
+_BUCKETS = "site string, bucket int, pages int, urls array<string>, streams array<binary>, element array<struct<key:bigint,n:int,places:int,titles:int,prose:int,is_prose:int,own:int>>, single array<bigint>"
 
 
 def _induce(frame: pd.DataFrame) -> pd.DataFrame:
-    _, stats = induce([pickle.loads(s) for s in frame["stream"]])
+    _, stats, single = induce([pickle.loads(s) for s in frame["stream"]])
     names = ("n", "places", "titles", "prose", "is_prose", "own")
     rows = [{"key": k, **dict(zip(names, v))} for k, v in stats.items()]
     first = frame.iloc[0]
-    return pd.DataFrame([{"site": first["site"], "bucket": int(first["bucket"]), "pages": len(frame), "urls": frame["url"].tolist(), "streams": frame["stream"].tolist(), "element": rows}])
+    return pd.DataFrame([{"site": first["site"], "bucket": int(first["bucket"]), "pages": len(frame), "urls": frame["url"].tolist(), "streams": frame["stream"].tolist(), "element": rows, "single": single}])
 
 
 def buckets(pages: DataFrame) -> DataFrame:
@@ -253,9 +253,13 @@ def frames(parts: DataFrame) -> DataFrame:
         | (prose & (((share >= PROSE_SHARE) & (F.col("n") >= PROSE_PAGES)) | ((pooled >= PROSE_SHARE) & (F.col("sites") >= SITES))))
     )
     opener = (F.col("all_titles") >= TITLES * F.col("all_places")) & (F.col("all_places") > 0) & (F.col("all_prose") <= 0.1 * F.col("all_places"))
-    row = row.where(frame).select("site", "key", opener.alias("opener"))
+    # A line that one page of a bucket has is no element and adds nothing to the pool, but takes its role from there: else a
+    # site of one page would not know the notices of all others.
+    lent = pool.where((F.col("sites") >= SITES) & (pooled >= F.when(prose, PROSE_SHARE).otherwise(SHARE))).select("key", opener.alias("opener"))
+    single = parts.select("site", F.explode("single").alias("key")).join(lent, "key").select("site", "key", "opener")
+    row = row.where(frame).select("site", "key", opener.alias("opener")).unionByName(single)
     # Frames of a site are few by their share of its pages: at most the lines of a page over SHARE.
-    return row.groupBy("site").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("opener"), F.col("key"))).alias("openers"))
+    return row.groupBy("site").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("opener"), F.col("key"))).alias("openers"))
 
 
 def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:

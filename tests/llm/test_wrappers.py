@@ -65,3 +65,19 @@ def test_path_of_a_page_without_title(pages):
     rows[0] = (url, final, None, html, text, day)
     got = {r.url: sorted(r.outside) for r in segmented(pages(rows)).collect()}
     assert got == want
+
+
+def test_one_page_of_a_site_takes_the_frames_of_others(pages):
+    rng, rows = random.Random(6), []
+    notice, prompt = "We and our partners store cookies on this device.", "Please sign in to read more"
+    for host in ("alphaport.example", "betamill.example", "gammafarm.example"):
+        for i in range(8):
+            lines = [f"{' '.join(rng.choices(NOUNS, k=4))} report {rng.random():.6f}", sentence(rng, 14), prompt, sentence(rng, 15), notice]
+            rows.append((f"https://{host}/{i}", None, lines[0], None, "\n".join(lines), None))
+    copied = sentence(rng, 20)  # one text on one page of each of four sites is no frame
+    for host in ("deltaquay.example", "epsilonfen.example", "zetamoor.example", "etaglen.example"):
+        rows.append((f"https://{host}/1", None, "Crane and quay report", None, f"Crane and quay report\n{notice}\n{copied}\n{prompt}\n{sentence(rng, 16)}", None))
+    rows.append(("https://deltaquay.example/2", None, "Kiln report", None, f"Kiln report\n{sentence(rng, 16)}\n{prompt}", None))
+    got = {r.url: sorted(r.outside) for r in segmented(pages(rows)).collect()}
+    assert all(got[f"https://{h}.example/1"] == [1, 3] for h in ("deltaquay", "epsilonfen", "zetamoor", "etaglen"))
+    assert got["https://deltaquay.example/2"] == [2] and got["https://alphaport.example/1"] == [2, 4]

@@ -15,6 +15,8 @@ from siltstone.sources.tables import table
 AREA = areas.AREA_SQL
 #: Similarity of near-duplicates, and of soft duplicates among evidence.
 NEAR, SOFT = 0.8, 0.6
+#: Similarity from which evidence of one domain and other layers corroborates.
+CORROBORATING = 0.28
 
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +76,39 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EXACT_DUPLICATES = "SELECT source_url, min(evidence_id) AS first, count(*) AS records FROM (SELECT DISTINCT evidence_id, source_url, lower(trim(title)) AS t FROM canonical_evidence WHERE source_url <> '') GROUP BY source_url, t HAVING count(*) > 1"
+DOMAIN = r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]+)"
+
+
+def corroborating_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of problems of one area and domain on different layers with a token Jaccard of 0.28 or more, below that of
+    soft duplicates.
+
+    Records that agree in area, domain, layer and token set are one row, told by their smallest record; a pair of which
+    all records have one URL and title is an exact duplicate and gives no row. The table names no actors, so the rules of
+    J1 for one actor never hold. A row without problem, area or domain gives no pair; a null layer differs from any other.
+    """
+    e = evidence(spark, folder, "evidence_id", "problem", "layer", "source_url", F.lower(F.trim("title")).alias("t"), areas.area(F.col("research_area")).alias("area"), F.lower(F.regexp_extract("source_url", DOMAIN, 1)).alias("domain"))
+    e = e.where("problem IS NOT NULL AND area IS NOT NULL AND domain <> ''").withColumn("elements", F.array_sort(text.tokens_a(F.col("problem"))))
+    key = F.concat_ws("|", "area", "domain", F.coalesce(F.concat(F.lit("="), "layer"), F.lit("")), F.array_join("elements", " "))
+    page = F.concat_ws("|", "source_url", F.coalesce("t", F.lit("")))
+    nodes = e.withColumn("page", page).groupBy("area", "domain", "layer", "elements").agg(F.min("evidence_id").alias("record"), F.min("page").alias("low"), F.max("page").alias("high"))
+    # Rows and blocks travel as hashes of fixed size.
+    nodes = session.cut(nodes.withColumn("id", F.unhex(F.md5(key))).withColumn("block", F.xxhash64("area", "domain")))
+    pairs = similarity.jaccard_pairs(nodes, CORROBORATING, ["block"])
+    both = pairs.where(F.col("shared") < SOFT * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9)
+    side = lambda x: nodes.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("area", "domain", "record", "layer", "low", "high")])
+    both = both.join(side("a"), "a").join(side("b"), "b").where("area_a = area_b AND domain_a = domain_b")
+    both = both.where("NOT layer_a <=> layer_b AND NOT (low_a = high_a AND low_b = high_b AND low_a = low_b)")
+    return both.select(F.col("area_a").alias("area"), F.col("domain_a").alias("domain"), "record_a", "record_b", "layer_a", "layer_b", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("similarity"))
+
+
+CORROBORATING_EVIDENCE = rf"""WITH e AS (SELECT evidence_id, layer, {AREA} AS area, lower(regexp_extract(source_url, '{DOMAIN}', 1)) AS domain, source_url || '|' || coalesce(lower(trim(title)), '') AS page,
+      list_sort(list_distinct(regexp_extract_all(lower(problem), '[a-z0-9]{{3,}}'))) AS el FROM canonical_evidence WHERE problem IS NOT NULL),
+    p AS (SELECT area, domain, layer, el, min(evidence_id) AS record, min(page) AS low, max(page) AS high, md5(area || '|' || domain || '|' || coalesce('=' || layer, '') || '|' || array_to_string(el, ' ')) AS id FROM e WHERE area IS NOT NULL AND domain <> '' GROUP BY area, domain, layer, el),
+    x AS (SELECT *, len(el) AS n, unnest(el) AS w FROM p),
+    s AS (SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS sh FROM x a JOIN x b ON a.area = b.area AND a.domain = b.domain AND a.w = b.w AND a.id < b.id GROUP BY 1, 2)
+    SELECT a.area, a.domain, a.record AS record_a, b.record AS record_b, a.layer AS layer_a, b.layer AS layer_b, round(sh / (na + nb - sh), 6) AS similarity FROM s JOIN p a ON s.a = a.id JOIN p b ON s.b = b.id
+    WHERE a.layer IS DISTINCT FROM b.layer AND sh >= 0.28 * (na + nb - sh) - 1e-9 AND sh < 0.6 * (na + nb - sh) - 1e-9 AND NOT (a.low = a.high AND b.low = b.high AND a.low = b.low)"""
 _COS = "sh / sqrt((sh + (na - sh) * 1.9753313) * (sh + (nb - sh) * 1.9753313))"
 
 
@@ -198,6 +233,6 @@ NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(low
     SELECT s.doc_id, coalesce(k.m, g.id, s.doc_id) AS class_id, coalesce(n.links, 0) AS links FROM s LEFT JOIN g ON s.el = g.el AND len(s.el) > 0 LEFT JOIN k ON g.id = k.id LEFT JOIN n ON g.id = n.id"""
 QUERIES = {
     "near_duplicates": (near_duplicates, NEAR_DUPLICATES), "near_class_sizes": (near_class_sizes, f"SELECT docs, count(*) AS classes FROM (SELECT class_id, count(*) AS docs FROM ({NEAR_DUPLICATES}) GROUP BY 1) GROUP BY 1"),
-    "soft_duplicates": (soft_duplicates, SOFT_DUPLICATES), "exact_duplicates": (exact_duplicates, EXACT_DUPLICATES), "lineage": (lineage, None), "leader_clusters": (leader_clusters, None), "cluster_terms": (cluster_terms, None),
+    "soft_duplicates": (soft_duplicates, SOFT_DUPLICATES), "exact_duplicates": (exact_duplicates, EXACT_DUPLICATES), "corroborating_evidence": (corroborating_evidence, CORROBORATING_EVIDENCE), "lineage": (lineage, None), "leader_clusters": (leader_clusters, None), "cluster_terms": (cluster_terms, None),
     "vector_topk": (vector_topk, VECTOR_TOPK), "novelty": (novelty, NOVELTY), "overlap_search": (overlap_search, OVERLAP_SEARCH), "tfidf_terms": (tfidf_terms, TFIDF_TERMS),
 }

@@ -104,3 +104,15 @@ def test_near_in_time_connects_what_all_pairs_would(spark):
         df = spark.createDataFrame(rows, "key string, source string, day date, rec string")
         got = [(r.a, r.b) for r in near_in_time(df, ["key"], "source", "day", "rec", 3).collect()]
         assert set(got) <= set(pairs) and components(got) == components(pairs)
+
+
+def test_corroborating_evidence(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [("e1", "alpha beta gamma delta", "Lab", "https://x.org/1", "one"), ("e2", "alpha beta other words", "Company", "https://X.org/2", "two"), ("e3", "alpha beta gamma delta", "Company", "https://x.org/3", "three")]
+    rows += [("e4", "alpha beta more things", "Lab", "https://y.org/4", "four"), ("e5", "alpha beta gamma delta", "Lab", None, None), ("e6", "alpha kilo lima mike", "Failure", "https://x.org/1", "one"), ("e7", "alpha beta papa oscar", None, "https://x.org/1", "ONE ")]
+    df = spark.createDataFrame([(*r, "esg") for r in rows], "evidence_id string, problem string, layer string, source_url string, title string, research_area string")
+    df.write.parquet(f"{tmp_path}/canonical_evidence.parquet")
+    got = entry.queries()["corroborating_evidence"](spark, str(tmp_path)).collect()
+    # e1 and e7 are an exact duplicate, e1 and e3 soft ones; e4 has another domain, e5 none, e6 shares too little.
+    assert sorted((*sorted((r.record_a, r.record_b)), r.similarity) for r in got) == [("e1", "e2", 0.333333), ("e2", "e7", 0.333333), ("e3", "e7", 0.333333)]

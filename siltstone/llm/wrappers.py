@@ -1,13 +1,15 @@
 """Main body of web pages, by wrappers inferred per site.
 
 Method: union-free regular-expression inference. A page is a stream of line tokens (each line with white space, digits
-and the site's own name masked; a line that is one whole link in the html is a link token). The streams of one site are
-aligned with the site's wrapper one after the other: tokens that match in order stay literals; what does not match
-becomes an optional literal, if it recurs, or a slot of text, repeated if several lines fall into it. Wrappers of the
-buckets of a site are merged by summing their elements, and elements that many sites share lend their role to sites with
-few pages. An element is a frame if it stands on a fair share of the pages where its site uses it at all; a frame that
-is followed by slots of titles, never by prose, opens a repeated group of links. Reading a page with the wrapper of its
-site then says for each line whether a frame, a group of links, a byline slot or the body holds it.
+and the site's own name masked). The streams of a bucket of one site are aligned with its wrapper one after the other:
+tokens that match in order stay literals; what does not match becomes an optional literal, if it recurs, or lies in a slot
+between two literals. Then every page is aligned with the finished wrapper, which gives each literal its support (matches
+in order), the places where it repeats or has moved, and what its slot begins with. These numbers are summed over the
+buckets of a site and over all sites, so that sites with few pages learn from others. A literal of a fair support is a
+frame, unless the html marks it as a heading and its slot begins with prose: that is a section. A literal whose slot holds
+titles and never prose opens a repeated group of links. Reading aligns each page once more with the frames of its bucket's
+wrapper, in order: the place of a line says whether a literal, a group of links or a body slot holds it. Within slots,
+links of the html, bylines, paths and short lines with the site's name are told apart by the line itself.
 
 Defined results: pages without clean_text give no row; null html only costs the link tokens; null final_url falls back
 to url; null title costs the protection of the title line; a page whose text is one message keeps it as its body; blank
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 from siltstone import session
 from siltstone.functions.urls import host
+from siltstone.operators.similarity import let
 from siltstone.sources.tables import table
 
 #: Pages of one site that one task aligns.
@@ -39,10 +42,17 @@ SHARE, PAGES, PROSE_SHARE, PROSE_PAGES = 0.15, 3, 0.3, 4
 SITES = 3
 #: Share of a heading's followers that are titles, from which on it opens a group of links.
 TITLES = 0.75
+#: Share of an element's pages on which it stands out of order, from which on it is a group that repeats or moves.
+MOVED = 0.05
+#: Share of a heading's slots that must begin with prose for a section of the body.
+SECTION = 0.8
 
 BLANK, TITLE, PROSE, HEADING, SHORT, MULTI = range(6)
-LINK, BRAND, BYLINE, PATH = 8, 16, 32, 64
+LINK, BRAND, BYLINE, PATH, HEAD = 8, 16, 32, 64, 128
 KIND = 7
+#: Of an element: pages on which it is met in order, pages on which it stands out of order, places, places whose slot begins
+#: with titles or with prose, places that are prose, that are links or have the site's name, that the html marks as headings.
+STATS = ("n", "loose", "places", "titles", "prose", "is_prose", "own", "headed")
 
 _SPACE = re.compile(r"[\s  -​ 　﻿]+")
 _DIGITS = re.compile(r"\d+")
@@ -50,6 +60,7 @@ _SEPARATOR = re.compile(r"\s+[|>»›·•/]\s+|[\s ]{2,}")
 _STEP = re.compile(r"\s[>»›/]\s")
 _SENTENCE = re.compile(r"[.!?…。！？][)\"'”’»\]]*$")
 _ANCHOR = re.compile(r"<a\b[^>]*>([^<]{2,400})</a>\s*(?=[<\n])", re.IGNORECASE)
+_HEADS = re.compile(r"<h[2-6]\b[^>]*>([^<]{2,400})</h[2-6]>", re.IGNORECASE)
 _BEFORE = re.compile(r"[>\n]\s*$")
 _ENTITY = {"&amp;": "&", "&gt;": ">", "&lt;": "<", "&quot;": '"', "&#39;": "'", "&nbsp;": " "}
 _NAME = r"[^\W\d_][\w.'’-]*"
@@ -76,22 +87,31 @@ def brand_of(site: str | None) -> str:
     return name if len(name) > 3 else ""
 
 
-def links_of(html: str | None) -> set[str]:
-    """The texts of the links that fill a line of the page: nothing but tags and line breaks beside them."""
-    out = set()
+def _plain(text: str) -> str:
+    """Text between tags, in lower case, with entities read and white space collapsed."""
+    if "&" in text:
+        for k, v in _ENTITY.items():
+            text = text.replace(k, v)
+    return _SPACE.sub(" ", text).strip().lower()
+
+
+def links_of(html: str | None) -> Counter:
+    """How often each text fills a line of the page as a link: nothing but tags and line breaks beside it."""
+    out: Counter = Counter()
     for m in _ANCHOR.finditer(html or ""):
         if _BEFORE.search(html, max(0, m.start() - 40), m.start()):
-            text = m.group(1)
-            if "&" in text:
-                for k, v in _ENTITY.items():
-                    text = text.replace(k, v)
-            out.add(_SPACE.sub(" ", text).strip().lower())
+            out[_plain(m.group(1))] += 1
     return out
 
 
+def heads_of(html: str | None) -> set[str]:
+    """The texts of the page's headings below the first level."""
+    return {_plain(x) for x in _HEADS.findall(html or "")}
+
+
 def stream(text: str, title: str | None, html: str | None, site: str | None) -> tuple[list[int], list[int], dict[int, int], dict[int, list[int]]]:
     """(keys, kinds, {line: key of what stands before its colon}, {line: keys of its parts}) of the lines of a page."""
-    brand, links = brand_of(site), links_of(html)
+    brand, links, marked = brand_of(site), links_of(html), heads_of(html)
     full = _SPACE.sub(" ", title or "").strip().lower()
     heads = {full, re.sub(r"\s+[-–|]\s+[^-–|]+$", "", full)} - {""}
     keys, kinds, before, parts = [], [], {}, {}
@@ -118,8 +138,11 @@ def stream(text: str, title: str | None, html: str | None, site: str | None) ->
         if len(pieces) > 1 and kind != TITLE:
             parts[no] = [1 if _SPACE.sub(" ", p) in heads else token(_DIGITS.sub("#", _SPACE.sub(" ", p.replace(brand, "{b}") if brand else p))) for p in pieces]
             kind |= PATH if _STEP.search(bare) else 0
-        if low in links:
+        if links[low] > 0:  # as many lines as links of the text, the first ones
+            links[low] -= 1
             kind |= LINK
+        if low in marked:
+            kind |= HEAD
         if brand and brand in low:
             kind |= BRAND
         if len(low) < 120 and _BYLINE.fullmatch(line):
@@ -144,13 +167,11 @@ def streams(pages: DataFrame) -> DataFrame:
     return session.spread(pages.select("url", site.alias("site"), "title", "clean_text", "html")).mapInPandas(_streams, "url string, site string, stream binary")
 
 
-def align(wrapper: list[int], tokens: list[int]) -> list[int]:
-    """wrapper, after the stream of tokens was aligned with it: what matches in order stays, new tokens come between.
+def chain(place: dict[int, int], tokens: list[int]) -> dict[int, int]:
+    """{index in tokens: place} of the longest run of matches in order between tokens and a wrapper's places.
 
-    The longest chain of matches in order is taken (each token stands once in a wrapper, so this is a longest rising
-    subsequence of places); tokens that match out of order are repetitions or moved optional groups and add nothing.
+    Each token stands once in a wrapper, so this is a longest rising subsequence of places.
     """
-    place = {t: i for i, t in enumerate(wrapper)}
     hits = [(place[t], j) for j, t in enumerate(tokens) if t in place]
     tails: list[int] = []
     tail_at: list[int] = []
@@ -163,15 +184,23 @@ def align(wrapper: list[int], tokens: list[int]) -> list[int]:
             tail_at.append(h)
         else:
             tails[k], tail_at[k] = p, h
-    chain, h = {}, tail_at[-1] if tail_at else -1
+    out, h = {}, tail_at[-1] if tail_at else -1
     while h >= 0:
-        chain[hits[h][1]] = hits[h][0]
+        out[hits[h][1]] = hits[h][0]
         h = back[h]
+    return out
+
+
+def align(wrapper: list[int], tokens: list[int]) -> list[int]:
+    """wrapper, after the stream of tokens was aligned with it: what matches in order stays, new tokens come between, as
+    optional ones; tokens that match out of order are repetitions or moved groups and add nothing."""
+    place = {t: i for i, t in enumerate(wrapper)}
+    met = chain(place, tokens)
     out, done = [], 0
     for j, t in enumerate(tokens):
-        if j in chain:
-            out += wrapper[done : chain[j] + 1]
-            done = chain[j] + 1
+        if j in met:
+            out += wrapper[done : met[j] + 1]
+            done = met[j] + 1
         elif t not in place:
             place[t] = -1
             out.append(t)
@@ -179,8 +208,11 @@ def align(wrapper: list[int], tokens: list[int]) -> list[int]:
 
 
 def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]], list[int]]:
-    """(the wrapper's literals in order, {token: [pages, places, followed by titles, followed by prose, is prose, has the
-    site's name]}, the tokens of one page that are no elements) of the streams of one bucket."""
+    """(the wrapper's literals in order, {token: STATS}, the tokens of one page that are no elements) of the streams of a bucket.
+
+    The first pass builds the wrapper; the second aligns every page with it. A match in order is an occurrence of the
+    literal, a match out of order a loose one. The lines between a literal and the next one of a fair share are its slot.
+    """
     seen: Counter = Counter()
     for keys, kinds, _, parts in pages:
         own = {k for k, c in zip(keys, kinds) if k and c & KIND != TITLE}
@@ -189,47 +221,60 @@ def induce(pages: list[tuple]) -> tuple[list[int], dict[int, list[int]], list[in
         seen.update(own)
     seen.pop(1, None)
     wrapper: list[int] = []
+    for keys, kinds, _, _ in pages:
+        wrapper = align(wrapper, list(dict.fromkeys(k for k, c in zip(keys, kinds) if k and c & KIND != TITLE and seen[k] > 1)))
+    place = {t: i for i, t in enumerate(wrapper)}
+    met, support = [], Counter()
+    for keys, _, _, _ in pages:
+        met.append(chain(place, keys))
+        support.update(place_of for place_of in met[-1].values())
+    strong = {i for i, n in support.items() if n >= max(2, SHARE * len(pages))}
     stats: dict[int, list[int]] = {}
-    for keys, kinds, _, parts in pages:
-        tokens = [k for k, c in zip(keys, kinds) if k and c & KIND != TITLE and seen[k] > 1]
-        wrapper = align(wrapper, list(dict.fromkeys(tokens)))
-        full = [(k, c) for k, c in zip(keys, kinds) if k]
-        counted = set()
-        for at, (key, kind) in enumerate(full):
+    for (keys, kinds, _, parts), hits in zip(pages, met):
+        full = [i for i, k in enumerate(keys) if k]
+        loose, counted = set(), set()
+        for at, i in enumerate(full):
+            key, kind = keys[i], kinds[i]
             base = kind & KIND
-            if base == TITLE or (seen[key] < 2 and not (base in (SHORT, MULTI) or kind & (BRAND | LINK))):
+            if base == TITLE or (key not in place and not (base in (SHORT, MULTI) or kind & (BRAND | LINK))):
                 continue
-            entry = stats.setdefault(key, [0, 0, 0, 0, 0, 0])
-            follower = full[at + 1][1] & KIND if at + 1 < len(full) else SHORT
-            second = full[at + 2][1] & KIND if at + 2 < len(full) else SHORT
-            entry[0] += key not in counted
-            entry[1] += 1
-            entry[2] += follower == HEADING and second != PROSE  # one title before prose is a section
-            entry[3] += follower == PROSE
-            entry[4] += base == PROSE
-            entry[5] += bool(kind & (BRAND | LINK))
-            counted.add(key)
+            entry = stats.setdefault(key, [0] * len(STATS))
+            slot = [kinds[j] & KIND for j in full[at + 1 : at + 3] if hits.get(j) not in strong]
+            if len(slot) == 1 and at + 2 < len(full) and hits.get(full[at + 1]) in strong:
+                slot = []
+            first, second = (*slot, SHORT, SHORT)[:2]
+            if i in hits or key not in place:
+                entry[0] += key not in counted
+                counted.add(key)
+            else:
+                entry[1] += key not in loose
+                loose.add(key)
+            entry[2] += 1
+            entry[3] += first == HEADING and second != PROSE  # one title before prose is a section
+            entry[4] += first == PROSE
+            entry[5] += base == PROSE
+            entry[6] += bool(kind & (BRAND | LINK))
+            entry[7] += bool(kind & HEAD)
         for line in parts.values():
             for key in line:
                 if key != 1 and key not in counted and seen[key] > 1:
                     counted.add(key)
-                    stats.setdefault(key, [0, 0, 0, 0, 0, 0])[0] += 1
+                    stats.setdefault(key, [0] * len(STATS))[0] += 1
     return wrapper, stats, [k for k in seen if k not in stats]
 
 
-_BUCKETS = "site string, bucket int, pages int, urls array<string>, streams array<binary>, element array<struct<key:bigint,n:int,places:int,titles:int,prose:int,is_prose:int,own:int>>, single array<bigint>"
+_BUCKETS = f"site string, bucket int, pages int, urls array<string>, streams array<binary>, wrapper array<bigint>, element array<struct<key:bigint,{','.join(f'{n}:int' for n in STATS)}>>, single array<bigint>"
 
 
 def _induce(frame: pd.DataFrame) -> pd.DataFrame:
-    _, stats, single = induce([pickle.loads(s) for s in frame["stream"]])
-    names = ("n", "places", "titles", "prose", "is_prose", "own")
-    rows = [{"key": k, **dict(zip(names, v))} for k, v in stats.items()]
+    wrapper, stats, single = induce([pickle.loads(s) for s in frame["stream"]])
+    rows = [{"key": k, **dict(zip(STATS, v))} for k, v in stats.items()]
     first = frame.iloc[0]
-    return pd.DataFrame([{"site": first["site"], "bucket": int(first["bucket"]), "pages": len(frame), "urls": frame["url"].tolist(), "streams": frame["stream"].tolist(), "element": rows, "single": single}])
+    return pd.DataFrame([{"site": first["site"], "bucket": int(first["bucket"]), "pages": len(frame), "urls": frame["url"].tolist(), "streams": frame["stream"].tolist(), "wrapper": wrapper, "element": rows, "single": single}])
 
 
 def buckets(pages: DataFrame) -> DataFrame:
-    """One row per bucket of a site: its streams and the elements of the wrapper inferred from them."""
+    """One row per bucket of a site: its streams, and the wrapper inferred from them with its elements' statistics."""
     rows = streams(pages)
     counts = pages.where(F.col("clean_text").isNotNull()).select(F.coalesce(host(F.col("final_url")), host(F.col("url")), F.lit("")).alias("site"))
     counts = counts.groupBy("site").agg(F.ceil(F.count("*") / BUCKET).alias("parts"))
@@ -238,36 +283,55 @@ def buckets(pages: DataFrame) -> DataFrame:
 
 
 def frames(parts: DataFrame) -> DataFrame:
-    """(site, keys, openers): the tokens that are frames on a site, and those of them that open a group of links."""
+    """(site, bucket, frame array<struct<key, opener, moved>>): the literals of each bucket's wrapper that are frames.
+
+    The statistics of a site's buckets are summed, and those of all sites; what is decided for a site and token goes back
+    to the buckets that have the token. So no row holds more than the tokens of one bucket, however large the site.
+    """
     sizes = parts.groupBy("site").agg(F.sum("pages").alias("total"))
-    names = ("n", "places", "titles", "prose", "is_prose", "own")
-    one = parts.select("site", F.inline("element")).groupBy("site", "key").agg(*[F.sum(c).alias(c) for c in names]).join(sizes, "site")
-    pool = one.groupBy("key").agg(F.count("*").alias("sites"), *[F.sum(c).alias(f"all_{c}") for c in (*names, "total")])
+    element = parts.select("site", "bucket", F.inline("element"))
+    one = element.groupBy("site", "key").agg(*[F.sum(c).alias(c) for c in STATS]).join(sizes, "site")
+    # A literal that stands out of order on a share of its pages is a group that repeats or moves, and counts there too.
+    moves = lambda n, loose: (F.col(loose) >= 2) & (F.col(loose) >= MOVED * (F.col(n) + F.col(loose)))
+    one = one.withColumn("moved", moves("n", "loose")).withColumn("n", F.col("n") + F.when(F.col("moved"), F.least("loose", F.col("total") - F.col("n"))).otherwise(0))
+    pool = one.groupBy("key").agg(F.count("*").alias("sites"), *[F.sum(c).alias(f"all_{c}") for c in (*STATS, "total")])
     row = one.join(pool, "key")
     prose = F.col("all_is_prose") * 2 > F.col("all_places")
     named = F.col("all_own") * 2 > F.col("all_places")
+    # What the html marks as a heading and prose follows is a section of the body, however many pages have it.
+    section = (F.col("all_headed") * 2 > F.col("all_places")) & (F.col("all_prose") >= SECTION * F.col("all_places"))
     share, pooled = F.col("n") / F.col("total"), F.col("all_n") / F.col("all_total")
     frame = (
         (named & (F.col("all_places") > 0))
         | (~prose & (((share >= SHARE) & (F.col("n") >= PAGES)) | ((pooled >= SHARE) & (F.col("sites") >= SITES))))
         | (prose & (((share >= PROSE_SHARE) & (F.col("n") >= PROSE_PAGES)) | ((pooled >= PROSE_SHARE) & (F.col("sites") >= SITES))))
-    )
+    ) & ~section
     opener = (F.col("all_titles") >= TITLES * F.col("all_places")) & (F.col("all_places") > 0) & (F.col("all_prose") <= 0.1 * F.col("all_places"))
     # A line that one page of a bucket has is no element and adds nothing to the pool, but takes its role from there: else a
     # site of one page would not know the notices of all others.
-    lent = pool.where((F.col("sites") >= SITES) & (pooled >= F.when(prose, PROSE_SHARE).otherwise(SHARE))).select("key", opener.alias("opener"))
-    single = parts.select("site", F.explode("single").alias("key")).join(lent, "key").select("site", "key", "opener")
-    row = row.where(frame).select("site", "key", opener.alias("opener")).unionByName(single)
-    # Frames of a site are few by their share of its pages: at most the lines of a page over SHARE.
-    return row.groupBy("site").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("opener"), F.col("key"))).alias("openers"))
+    lent = pool.where((F.col("sites") >= SITES) & (pooled >= F.when(prose, PROSE_SHARE).otherwise(SHARE)) & ~section).select("key", opener.alias("opener"))
+    single = parts.select("site", "bucket", F.explode("single").alias("key")).join(lent, "key").select("site", "bucket", "key", "opener", F.lit(True).alias("moved"))
+    moved = F.col("moved") | ((F.col("sites") >= SITES) & moves("all_n", "all_loose"))
+    decided = row.where(frame).select("site", "key", opener.alias("opener"), moved.alias("moved"))
+    back = element.select("site", "bucket", "key").join(decided, ["site", "key"]).select("site", "bucket", "key", "opener", "moved").unionByName(single)
+    return back.groupBy("site", "bucket").agg(F.collect_list(F.struct("key", "opener", "moved")).alias("frame"))
 
 
-def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
-    """Line numbers of a page outside the main body, read with the frames of its site."""
+def outside(page: tuple, wrapper: list[int], frame: dict[int, tuple[bool, bool]]) -> list[int]:
+    """Line numbers of a page outside the main body, read with the wrapper of its bucket.
+
+    frame is {key: (opener, moved)}; the literals of wrapper that are in it are aligned with the page. A line that the
+    alignment matches is a literal; the same text elsewhere is one only if the site repeats or moves it, or if it has the
+    site's name, else it lies in a slot. The slot after an opener is a group of links until prose or another literal ends it.
+    """
     keys, kinds, before, parts = page
     bases = [k & KIND for k in kinds]
+    place = {k: i for i, k in enumerate(k for k in wrapper if k in frame)}
+    met = chain(place, keys)
+    known_at = [k in frame and (i in met or frame[k][1] or k not in place or kinds[i] & BRAND) for i, k in enumerate(keys)]
+    opens = lambda k: k in frame and frame[k][0]
     out, links, head = [], False, next((i for i, b in enumerate(bases) if b == TITLE), -1)
-    if head > 0 and any(b == PROSE and keys[i] not in frame and not kinds[i] & BRAND for i, b in enumerate(bases[:head])):
+    if head > 0 and any(b == PROSE and not known_at[i] and not kinds[i] & BRAND for i, b in enumerate(bases[:head])):
         head = -1  # prose stands before it: it is no heading of the page
     for i, (key, kind, base) in enumerate(zip(keys, kinds, bases)):
         if base == BLANK:
@@ -275,13 +339,12 @@ def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
         if i == head or (head < 0 and base == TITLE and not links):
             links = False
             continue
-        known = key in frame
         inside = False
         if i < head:
             pass
-        elif known and not (base == PROSE and kind & KIND == TITLE):
-            links = key in openers or (links and base != PROSE)
-        elif kind & (LINK | BYLINE) or before.get(i) in openers:
+        elif known_at[i]:
+            links = opens(key) or (links and base != PROSE)
+        elif kind & (LINK | BYLINE) or opens(before.get(i)):
             pass
         elif i in parts and sum(p == 1 or p in frame for p in parts[i]) >= 0.75 * len(parts[i]):
             pass
@@ -301,13 +364,13 @@ def outside(page: tuple, frame: set[int], openers: set[int]) -> list[int]:
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
         urls, lines, body, heads = [], [], [], []
-        for names, packed, keys, openers in zip(f["urls"], f["streams"], f["keys"], f["openers"]):
-            frame = set(keys) if keys is not None else set()
-            opening = set(openers) if openers is not None else set()
+        for names, packed, wrapper, frame in zip(f["urls"], f["streams"], f["wrapper"], f["frame"]):
+            roles = {x["key"]: (x["opener"], x["moved"]) for x in frame} if frame is not None else {}
+            literals = [k for k in wrapper.tolist() if k in roles]
             # A repeated row lies in the same bucket; pages of one url are read once per different stream.
             for url, raw in dict.fromkeys(zip(names, packed)):
                 page = pickle.loads(raw)
-                out = outside(page, frame, opening)
+                out = outside(page, literals, roles)
                 gone = set(out)
                 urls.append(url)
                 lines.append(out)
@@ -319,8 +382,8 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def segmented(pages: DataFrame) -> DataFrame:
     """(url, outside, body, heads): the non-blank lines of each page outside and inside its main body, and its title lines."""
     parts = buckets(pages)
-    rows = parts.select("site", "urls", "streams").join(frames(parts), "site", "left")
-    return rows.drop("site").mapInPandas(_read, "url string, outside array<bigint>, body array<bigint>, heads array<bigint>")
+    rows = parts.select("site", "bucket", "urls", "streams", "wrapper").join(frames(parts), ["site", "bucket"], "left")
+    return rows.drop("site", "bucket").mapInPandas(_read, "url string, outside array<bigint>, body array<bigint>, heads array<bigint>")
 
 
 def crawl(spark: SparkSession, folder: str) -> DataFrame:
@@ -337,5 +400,5 @@ def p1_body(spark: SparkSession, folder: str) -> DataFrame:
     """Per page: lines and characters of the main body, and its hash."""
     pages = crawl(spark, folder).select("url", "clean_text")
     body = segmented(crawl(spark, folder)).select("url", "body").join(pages, "url")
-    text = F.array_join(F.transform("body", lambda i: F.get(F.split("clean_text", "\n"), i.cast("int"))), "\n")
+    text = let(F.split("clean_text", "\n"), lambda lines: F.array_join(F.transform("body", lambda i: F.get(lines, i.cast("int"))), "\n"))
     return body.select("url", F.size("body").cast("bigint").alias("lines"), F.length(text).cast("bigint").alias("chars"), F.sha2(text, 256).alias("body_hash"))

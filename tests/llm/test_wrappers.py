@@ -81,3 +81,58 @@ def test_one_page_of_a_site_takes_the_frames_of_others(pages):
     got = {r.url: sorted(r.outside) for r in segmented(pages(rows)).collect()}
     assert all(got[f"https://{h}.example/1"] == [1, 3] for h in ("deltaquay", "epsilonfen", "zetamoor", "etaglen"))
     assert got["https://deltaquay.example/2"] == [2] and got["https://alphaport.example/1"] == [2, 4]
+
+
+def menu_site(rng, n=30):
+    """Pages with a menu of lines, a body whose section may be called like a menu entry, and a section that half of them have."""
+    menu, rows, want = ["Home", "Programmes", "Contact"], [], {}
+    for i in range(n):
+        title = f"{' '.join(rng.choices(NOUNS, k=4))} report {rng.random():.6f}"
+        lines = [("x", m) for m in menu] + [(" ", title), (" ", sentence(rng, 14))]
+        lines += [(" ", "Programmes")] if i == 7 else []
+        lines += [(" ", sentence(rng, 13))]
+        lines += [(" ", "What the members say"), (" ", sentence(rng, 15))] if i % 2 else []
+        lines += [("x", "Nothing here is advice to anyone at all.")]
+        url = f"https://thetapeak.example/{i}"
+        tags = {"What the members say": "h2", title: "h1"}
+        html = "<body>\n" + "\n".join(f'<a href="/">{t}</a>' if t in menu and k < 3 else f"<{tags.get(t, 'p')}>{t}</{tags.get(t, 'p')}>" for k, (_, t) in enumerate(lines))
+        rows.append((url, url, title, html if i % 3 else None, "\n".join(t for _, t in lines), None))
+        want[url] = [k for k, (m, _) in enumerate(lines) if m == "x"]
+    return rows, want
+
+
+def test_the_place_in_the_wrapper_decides(pages, monkeypatch):
+    rows, want = menu_site(random.Random(8))
+    rows += [(u.replace("theta", x), f.replace("theta", x), *r) for x in ("iota", "kappa") for u, f, *r in menu_site(random.Random(9))[0] if "/7" not in u]
+    df = pages(rows)
+    got = {r.url: sorted(r.outside) for r in segmented(df).collect()}
+    assert {u: got[u] for u in want} == want
+    streams = [wrappers.stream(r[4], r[2], r[3], "thetapeak.example") for r in rows[:30]]
+    wrapper, stats, _ = wrappers.induce(streams)
+    foot = streams[0][0][-1]
+    assert foot in wrapper and stats[foot][0] == 30
+    frame = {foot: (False, False)}
+    assert want[rows[1][0]][-1] in wrappers.outside(streams[1], wrapper, frame)
+    # Without the alignment no literal has support, so that no line is a frame.
+    monkeypatch.setattr(wrappers, "align", lambda wrapper, tokens: [])
+    wrapper, stats, _ = wrappers.induce(streams)
+    assert wrapper == [] and foot not in stats
+
+
+def test_induced_wrapper_tells_order_repeats_and_slots():
+    streams = [([5, 6, 10 + i, 7], [3, 4, 2, 4], {}, {}) for i in range(4)] + [([6, 5, 20, 7, 7], [4, 3, 2, 4, 4], {}, {})]
+    wrapper, stats, single = wrappers.induce(streams)
+    assert wrapper == [5, 6, 7] and sorted(single) == [10, 11, 12, 13, 20]
+    n = {k: dict(zip(wrappers.STATS, v)) for k, v in stats.items()}
+    assert n[5]["n"] + n[6]["n"] == 9 and n[5]["loose"] + n[6]["loose"] == 1  # one of the two stands out of order once
+    assert n[7]["n"] == 5 and n[7]["loose"] == 1 and n[7]["places"] == 6 and n[6]["prose"] == 4
+
+
+def test_rows_stay_bounded_on_a_large_site(pages, monkeypatch):
+    monkeypatch.setattr(wrappers, "BUCKET", 32)
+    sizes = []
+    for n in (64, 512):
+        rows = [(f"https://a.example/{i}", None, None, f'<p>\n<a href="/">Alpha story {i:x} of the quay z{i:x}</a>\n', f"Menu\nAlpha story {chr(97 + i % 26)}{i:x}q of the quay\nWords of page q{i:x} and more.", None) for i in range(n)]
+        parts = wrappers.buckets(pages(rows))
+        sizes.append(max(len(r.frame) for r in wrappers.frames(parts).collect()))
+    assert sizes[1] <= 2 * sizes[0]

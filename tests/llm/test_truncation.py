@@ -36,3 +36,36 @@ def test_finished_prefix_is_not_cut(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, source string, text string")
     assert truncated(df).count() == 0
+
+
+def test_blanks_make_no_copy_longer(spark):
+    text = BASE[0] + "\n\n- copper bell\n- northern crane and all of its copper"
+    assert found(spark, [text, text + "\n", text + "  ", text + " --- 12"]) == []
+
+
+def test_short_text_cut_from_a_longer_one(spark):
+    assert found(spark, ["Minutes of the upper valley, part\nZeta omega kappa", "Minutes of the upper valley, part"]) == [1]
+
+
+def test_many_lengths_of_one_beginning(spark):
+    whole = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000))
+    ends = [i for i, c in enumerate(whole) if c == " "][-1500:]
+    assert found(spark, [whole + "."] + [whole[:n] for n in ends]) == list(range(1, 1501))
+
+
+def test_prefixes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("ab ", k=rng.randint(1, 9))).strip() or "a"
+    asks, answers = sorted({(k, word()) for _ in range(400) for k in (0, 2, 3)}), sorted({(k, word()) for _ in range(250) for k in (0, 2, 4)})
+    schema = "kind int, v string"
+    from siltstone.llm.truncation import prefixes, shared
+
+    got = {(r.kind, r.v): (r.shared, r.whole) for r in prefixes(spark.createDataFrame(asks, schema).repartition(5), spark.createDataFrame(answers, schema).repartition(3)).collect()}
+    for k, v in asks:
+        mine = [x for j, x in answers if j == k and x != v]
+        want = (max((shared(v, x) for x in mine), default=0) if k == 0 or k == 2 else 0, any(x.startswith(v) for x in mine))
+        assert got[k, v] == want, (k, v)
+    assert len(got) == len(asks)
+    assert prefixes(spark.createDataFrame([], schema), spark.createDataFrame(answers, schema)).count() == 0

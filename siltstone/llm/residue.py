@@ -1,14 +1,18 @@
 """Template residue, filler and message-only texts.
 
-Method: character n-gram models. One model each is fitted to slots, filler and notices (from the fixed training texts
-below and from rules that spell out slots) and one to natural prose (a bounded sample of the corpus, ``PROSE_CHARS``).
+Method: character n-gram models. Slots, filler and notices begin from seeds below (public messages of servers, browsers and
+frameworks, delimiters of template languages), prose from a few sentences. The corpus then fits them: prose is counted over
+all lines of all records that the seeds do not take for residue, and sentences of short records that stand in several records
+of several sites join the filler or notice model if they are not clearly nearer to prose (``NEAR``). Only bin counts reach the driver.
+
 Over every text, windows of ``WINDOW`` characters whose log-likelihood ratio of a residue model to the prose model is high
-localise the residue. A slot window is then checked exactly and outside quotations and code; a sentence is filler or a
-notice if its mean ratio is high; a record is excluded if it has a slot or a filler sentence, or if notices cover
-``COVERAGE`` of its body. Of a web page only the main body counts (see wrappers).
+localise the residue. A slot there is checked by its syntax (delimiters, shape of an identifier, a null value where a
+name belongs) outside quotations and code; a sentence is filler or a notice if its mean ratio is high; a record is excluded
+if it has a slot or a filler sentence, or if notices cover ``COVERAGE`` of its body. Of a web page only the main body counts
+(see wrappers).
 
 Defined results: null and empty texts are not residue; text that speaks about residue, or quotes it, is not; repeated
-rows give one row; a very long text is scored in one pass and judged by the same rules.
+rows give one row; a very long text is scored in one pass and judged by the same rules; an empty table is judged by seeds.
 """
 
 from __future__ import annotations
@@ -22,22 +26,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import session
+from siltstone.functions.urls import host
 from siltstone.llm import wrappers
 from siltstone.sources.tables import table
 
 #: Characters of a window, and its mean log ratio from which it is looked at.
 WINDOW, SUSPECT = 12, 0.3
+#: The same for the shape of a text (letters and digits by class), in which delimiters around any name stand out.
+SHAPE_WINDOW, SHAPE_SUSPECT = 1, 2.5
 #: Mean log ratio per character of a sentence that is filler, or a notice.
 FILLER_MEAN, NOTICE_MEAN = 0.5, 0.35
 #: Share of a body that notices must cover.
 COVERAGE = 0.8
-#: Characters of the prose sample, at most.
-PROSE_CHARS = 4_000_000
+#: Weight of the corpus's prose and of each residue model, in characters: models are alike at every size of a corpus.
+PROSE_MASS, CLASS_MASS = 4_000_000, 150_000
+#: A sentence of short records that so many records of so many sites have is a message, not prose.
+RECORDS, SHORT_RECORD = 3, 300
+#: Mean log ratio from which such a sentence joins the filler or the notice model.
+NEAR = -0.5
 ORDER, BINS = 4, 1 << 16
 #: Bytes scored at once.
 BLOCK = 1 << 18
 
-# Fixed training texts of the filler model.
+# The words of the usual Latin filler; seeds of the filler model.
 LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna "
     "aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute "
@@ -45,83 +56,70 @@ LATIN = (
     "proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 FILLER = """
-This is sample text. Replace it with your own copy.
-Sample paragraph for layout purposes only.
-Dummy text for the preview.
-Placeholder text, to be replaced.
-Description to follow. Description to follow.
-Content coming soon.
-Text to be added later.
-Add your project description in this box.
-Add your text here. Click to edit this text.
-Insert your text here. Type something here.
-Your text goes here. Your headline goes here.
-Enter a short summary of the project here.
-Test test test please ignore.
-Hier steht später der Text der Ausschreibung.
-Hier steht ein Beispieltext. Platzhaltertext, bitte ersetzen.
-Blindtext für das Layout. Text folgt in Kürze.
-Texte provisoire à remplacer. Texte à venir.
-Ceci est un texte d'exemple. Contenu à compléter.
-Texto de ejemplo. Texto provisional para sustituir. Contenido próximamente.
-Aquí irá el texto de la convocatoria.
+Example text that shows how the page will look; swap it for the real copy.
+A dummy paragraph that fills the layout.
+Placeholder copy. The final text will be supplied later.
+The description will follow soon. More information is coming soon. Coming soon!
+New content will appear here shortly. Nothing here yet.
+Click here to add your own text and edit me. Double click to edit.
+Type your paragraph here. Write a short summary here. Enter your description.
+Your heading goes here. Your subtitle goes here. Add a caption here.
+Testing, please ignore this entry. This is only a test post. Hello world! Welcome to WordPress. This is your first post.
+The quick brown fox jumps over the lazy dog. Greeking text. Filler text. Mock text. Blind text.
+Beispieltext, bitte austauschen. Dies ist ein Blindtext. Hier folgt demnächst der Text zum Projekt. Der Inhalt wird noch ergänzt.
+Platzhalter für den Text. Eine Beschreibung folgt in Kürze.
+Ceci est un faux texte, il sera remplacé plus tard. Le contenu sera bientôt disponible. Texte de remplissage. Exemple de paragraphe.
+Este es un texto de relleno que será sustituido. El contenido estará disponible en breve. Aquí se añadirá la descripción. Párrafo de muestra.
 """.strip().split("\n")
 MASHED = ("test", "asdf", "qwer", "blah", "xxx", "text", "foo bar", "bla", "abc", "aaa", "dummy", "sample", "jkl")
 
-# Fixed training texts of the notice model.
+# Seeds of the notice model: messages of public servers, browsers, libraries and frameworks.
 NOTICES = """
-404 - Page not found
-Error 404: the page you requested could not be located on this server.
-Sorry, we can't find that page. It may have moved or been deleted.
-Oops! That link seems to be broken.
-The requested document has been withdrawn by the editor and can't be displayed.
-Try the search instead. Return to the start page. Go back to the home page.
-403 Forbidden. You don't have permission to view this resource.
-401 Unauthorized. Access denied. Your request was blocked by the site's security rules. Reference 12345.
-500 Internal Server Error. Something went wrong on our side; please try again later.
-502 Bad Gateway. Gateway timeout. The server didn't respond in time.
-503 Service temporarily unavailable. We are down for planned maintenance.
-The site is under maintenance. We'll be back soon. Please check back later.
-The connection to the upstream host timed out after 30000 ms.
-Too many requests. Slow down and retry in 60 seconds.
-Rate limit exceeded. Please wait a moment and try again.
-If the problem persists, contact the desk. Error code: 1234
-Fatal error: uncaught exception in /srv/app/render.inc on line 123
-Warning: Undefined variable in /var/www/html/index.php on line 12
-Traceback (most recent call last): KeyError 'id_12345'
-Database connection failed: too many clients already
-Please log in to see this content. You must be logged in to view this page.
-Your session has expired. Please sign in again to continue.
-Sign in to continue. This content is for members only. Please subscribe to read on.
-This domain has been parked by its owner and may be for sale. Buy this domain.
-This site requires JavaScript. Your browser has it switched off.
-Please enable JavaScript to continue using this application.
-You need to turn on scripts in your browser to view this page.
-We're sorry but the portal doesn't work properly without scripts enabled.
-Loading… If nothing happens, check that scripts aren't blocked.
-noscript: your browser doesn't support the scripts needed to show this call.
-Checking your browser before accessing the site. Please verify that you are human. Complete the captcha.
-Checking that you are not a robot. This takes a few seconds. Request id 0a1b2c3d4e5f
-Unusual traffic from your network has been detected. Your IP address has been blocked.
-This content is not available in your region. This resource has been removed.
-An error occurred while processing your request. An unexpected error has occurred.
-Cookies must be enabled to use this site. Your browser is not supported; please upgrade.
-This account has been suspended. This page is under construction. Index of /
-Bitte aktivieren Sie JavaScript, um diese Seite zu nutzen.
-Seite nicht gefunden. Die angeforderte Adresse existiert nicht (mehr).
-Zugriff verweigert. Bitte melden Sie sich an, um diesen Inhalt zu sehen.
-Wartungsarbeiten. Der Dienst ist vorübergehend nicht verfügbar. Bitte versuchen Sie es später erneut.
-Ein Fehler ist aufgetreten. Ihre Sitzung ist abgelaufen.
-Pour afficher ce contenu, activez JavaScript dans votre navigateur.
-Cette page est introuvable. Vérifiez l'adresse ou revenez à l'accueil.
-Accès refusé. Veuillez vous connecter pour voir ce contenu.
-Service momentanément indisponible. Site en maintenance. Veuillez réessayer plus tard.
-Une erreur est survenue. Votre session a expiré.
-Active JavaScript para ver esta página.
-La página solicitada no existe o ha cambiado de dirección.
-Acceso denegado. Inicie sesión para ver este contenido.
-Servicio no disponible temporalmente. Sitio en mantenimiento. Vuelva a intentarlo más tarde.
-Se ha producido un error. Su sesión ha caducado.
+Not Found. The requested URL was not found on this server. HTTP Error 404.0 - Not Found
+The page you are looking for might have been removed, had its name changed, or is temporarily unavailable.
+Sorry, the page you were looking for doesn't exist. You may have mistyped the address or the page may have moved.
+Oops, that page can't be found. It looks like nothing was found at this location. Maybe try a search? This link is broken.
+Go to the homepage. Take me back to the start. Use the search box to find what you need.
+Forbidden - you don't have permission to access this resource on this server. You are not authorised to view this document.
+Unauthorized. Access to this page is denied by the security policy. Your request has been rejected by the administrator. Sorry, you have been blocked.
+HTTP 500: the server encountered an internal error or misconfiguration and was unable to complete your request.
+Bad Gateway. The proxy server received an invalid response from an upstream server. The web server reported a gateway time-out error.
+Service Unavailable. The server is temporarily unable to service your request due to maintenance downtime or capacity problems. Please try again later.
+We're sorry, but something went wrong. Whoops, looks like something went wrong on our end. Try refreshing the page in a few minutes.
+We are currently performing scheduled maintenance. We will be back shortly. Thank you for your patience. The website is offline for an upgrade.
+The connection has timed out. The server at this address is taking too long to respond. Upstream request timeout.
+You have sent too many requests in a given amount of time. Rate limited; slow down and retry after a minute.
+If this problem continues, please contact the site owner or the support desk. Reference number 18. Error code 1020. Ray ID: 8a2f
+Parse error: syntax error, unexpected end of file in index.php on line 40. Uncaught TypeError: argument must be of type array. Stack trace:
+Warning: include(header.php): failed to open stream: no such file or directory in wp-content/themes/functions.php on line 7
+File "manage.py", line 22, in main: ValueError: invalid literal for int() with base 10. Unhandled exception: java.lang.NullPointerException
+Error establishing a database connection. Could not connect to the database: too many connections, sorry
+You need to log in to view this content. Login required. Please sign in to your account to read on. Members only: register or subscribe to continue reading.
+Your session has timed out due to inactivity. Please log in again. Your login has expired. Invalid username or password.
+This domain name is for sale. The domain is parked free, courtesy of the registrar. Make an offer to buy this domain name from its owner.
+You need to enable JavaScript to run this app. JavaScript is disabled in your browser. Please turn JavaScript on and reload the page.
+This website needs scripts to work. Your browser does not support JavaScript or has scripts switched off. It won't display properly without them.
+Loading, please wait... If the page does not load, check that no extension blocks scripts. Redirecting, click here if nothing happens.
+Please wait while we check your browser. Verify you are human by completing the action below. Confirm that you're not a robot. It may take some seconds.
+Our systems have detected unusual traffic from your computer network. Complete the security check to access the site. Your IP address was flagged.
+This video is not available in your country. The file has been deleted by the author. The content was withdrawn and can't be shown.
+An unexpected error has occurred. An error occurred during the processing of your request. Something happened and we could not process it.
+Please enable cookies and reload the page. Your browser is out of date; please update it to use this site. This account has been suspended. Under construction.
+Sie müssen JavaScript einschalten, damit diese Anwendung läuft. Bitte schalten Sie JavaScript in Ihrem Browser ein.
+Die gesuchte Seite konnte nicht gefunden werden. Fehler 404: Diese Adresse gibt es nicht oder nicht mehr.
+Kein Zugriff auf diese Seite. Melden Sie sich an, um den Inhalt zu lesen. Anmeldung erforderlich.
+Wegen Wartung ist der Dienst zurzeit nicht erreichbar. Bitte probieren Sie es in Kürze noch einmal.
+Leider ist ein unerwarteter Fehler passiert. Die Sitzung ist abgelaufen, bitte neu anmelden.
+Vous devez activer JavaScript pour utiliser ce site. Votre navigateur n'exécute pas les scripts.
+La page demandée n'existe pas ou a été déplacée. Erreur 404, page non trouvée. Retournez à la page d'accueil ou vérifiez le lien.
+Vous n'avez pas accès à cette page. Connectez-vous pour lire ce contenu. Identification requise.
+Le service est temporairement indisponible pour cause de maintenance. Merci de réessayer dans quelques minutes.
+Une erreur inattendue s'est produite. La session a expiré, reconnectez-vous.
+Debe activar JavaScript en su navegador para usar esta página web.
+No se ha encontrado la página. Error HTTP 404: la dirección no existe o ha sido movida. Vuelva a la página de inicio.
+No tiene permiso para ver esta página. Debe iniciar sesión para leer el contenido. Acceso restringido.
+El servicio no está disponible por tareas de mantenimiento. Inténtelo de nuevo dentro de unos minutos.
+Ha ocurrido un error inesperado. La sesión ha caducado, identifíquese otra vez.
 """.strip().split("\n")
 
 # A little prose of four languages, so that the prose model has a floor where a corpus has hardly any text.
@@ -141,21 +139,67 @@ La empresa del norte fabrica ahora las piezas que antes se compraban fuera, y lo
 Los vecinos del valle recuerdan cómo el río subió por encima del puente y se llevó las casas que estaban más abajo.
 """
 
-_NAMES = "call_name contact.email first_name org_name date_long user.region body_text title amount deadline programme summary address url".split()
-_WRAPS = ("{{%s}}", "{%s}", "${%s}", "#{%s}", "[[%s]]", "<%%= %s %%>", "{%% block %s %%}", "&lt;%s&gt;", "<%s>", "<insert %s text>")
-_UPPER = ("[%s]", "%%%%%s%%%%", "%%%s%%", "__%s__", "@@%s@@", "$%s$", "<<%s>>", "[INSERT %s HERE]")
-SLOTS = [w % n for n in _NAMES for w in _WRAPS] + [w % n.upper() for n in _NAMES for w in _UPPER]
-SLOTS += ["Contact: NaN.", "Dear undefined,", "null null", "[object Object]", "TODO: add description", "TBC_PLACEHOLDER", "XXXX to be completed by the editor XXXX", "Your headline goes here"] * 3
-
+# Seeds of the slot model: delimiters of template languages around names of fields.
+_NAMES = "FNAME user.name post_title item.price company_name lastname order_id customer.city event_date phone_number job_title account.owner zip_code product image_url page.author".split()
+_WRAPS = ("{{%s}}", "{%s}", "${%s}", "#{%s}", "[[%s]]", "<%%= %s %%>", "{%% include %s %%}", "&lt;%s&gt;", "<%s>", "<enter %s>", "*|%s|*", "@Model.%s")
+_UPPER = ("[%s]", "%%%%%s%%%%", "%%%s%%", "__%s__", "@@%s@@", "$%s$", "<<%s>>", "[ENTER %s]", "[YOUR %s HERE]", "%s_PLACEHOLDER")
+_EMPTY = ("Hello %s, welcome.", "Welcome back %s!", "Author: %s.", "Published by %s", "from %s to %s.", "%s, %s", "In %s, we met.", "The %s offers a grant", "for %s.", "%s opens the door", "Hi %s,")
+SLOTS = [w % n for n in _NAMES for w in _WRAPS] + [w % n.replace(".", "_").upper() for n in _NAMES for w in _UPPER]
+SLOTS += [w.replace("%s", v) for w in _EMPTY for v in ("undefined", "null", "None", "NaN", "[object Object]")] * 3
+SLOTS += ["TODO: write this", "FIXME: check", "XXXXX", "Your subtitle goes here", "Your name here", "to be filled in later by the author"] * 3
+
+# Elements of HTML, which are no names of fields.
+_TAGS = set(
+    "a abbr article aside audio b blockquote body br button canvas caption center code col dd del details dialog div dl dt em fieldset figcaption figure font "
+    "footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main mark meta nav noscript object ol option p param picture pre q "
+    "s samp script section select small source span strong style sub sup svg table tbody td template textarea tfoot th thead time title tr track u ul var video wbr".split()
+)
 _QUOTED = re.compile(r'"[^"\n]{0,200}"|“[^”\n]{0,200}”|„[^“\n]{0,200}“|«[^»\n]{0,200}»|‘[^’\n]{0,200}’|`[^`\n]{0,300}`|```.*?```', re.DOTALL)
-_SLOT = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|[$#]?\{\s*[A-Za-z][A-Za-z_.]{2,40}\s*\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|\[\[\s*[A-Za-z][\w. ]{1,40}\]\]"
-    r"|\[(?:[A-Z]+[_.][A-Z_.]+|[A-Z]{5,})\]|\[(?:INSERT|ENTER|ADD|YOUR|[Ii]nsert|[Ee]nter|[Aa]dd|[Yy]our)\b[^\]\n]{1,40}\]|%{1,2}[A-Z][A-Z_.]{2,40}%{1,2}|\b__[A-Za-z][A-Za-z_.]{2,40}__\b"
-    r"|@@[A-Za-z][A-Za-z_.]{1,40}@@|\$[A-Z][A-Z_.]{2,40}\$|<<\s*[A-Za-z][\w. ]{1,40}>>|&lt;\s*[a-z][\w. ]{2,40}&gt;|<(?:insert|enter|your) [^<>\n]{2,40}>"
-    r"|<[a-z]+[_.][a-z_.]+>|<(?:deadline|programme|amount|summary)>|\[object Object\]|\bTODO:|\bFIXME:|\b[A-Z]{2,12}_PLACEHOLDER\b|\bX{4,}\b"
-    r"|\b[Yy]our (?:headline|text|title|name|logo|description|content) (?:goes )?here\b|\bto be completed by the editor\b|(?<![\w-])NaN(?![\w-])|\bnull null\b"
-    r"|(?:^|(?<=[:,.] )|(?<=Dear )|(?<=\bto )|(?<=\bIn )|(?<=\bThe )|(?<=before )|(?<=\band ))(?:undefined|null|None)(?=[.,;:]|$|\s+(?:announces|supports|before|and)\b)"
+_WORDS = r"[A-Za-z][A-Za-z_. ]{1,40}"
+_DELIMITED = re.compile(
+    # Delimiters that prose has no use for, whatever lies between them.
+    r"\{\{[^{}\n]{1,60}\}\}|\{%[^{}\n]{1,60}%\}|<%[^<>\n]{1,60}%>|[$#]\{[^{}\n]{1,60}\}|\*\|[^|\n]{1,40}\|\*"
+    rf"|\[\[\s*{_WORDS}\]\]|<<\s*{_WORDS}>>|@@[A-Za-z][A-Za-z_.]{{1,40}}@@|%%[A-Za-z][A-Za-z_.]{{1,40}}%%|\[object Object\]"
+    # Weaker ones around the shape of a name or an instruction.
+    rf"|(?<![\w\\}}])\{{\s*[A-Za-z][A-Za-z_. ]{{2,40}}\}}|\[(?:[A-Z]+[_.][A-Z_.]+|[A-Z]{{5,}}|[A-Z]{{2,}}(?: [A-Z]{{2,}})+)\]"
+    r"|[\[<](?i:insert|enter|add|your|type|choose|select)\b[^\]<>\n]{1,40}[\]>]"
+    r"|%[A-Z][A-Z_.]{2,40}%|\$[A-Z][A-Z_.]{2,40}\$|\b__[A-Za-z][A-Za-z_.]{2,40}__\b|(?<!\w)@[A-Z][A-Za-z]+\.[A-Z]\w+"
+    r"|\b(?:TODO|FIXME):|\b[A-Z]{2,12}_PLACEHOLDER\b|\bX{4,}\b"
+    r"|\b(?i:your) [a-z]{3,12} (?:goes )?here\b|\bto be (?:completed|filled in|supplied|added|written) (?:later )?by the \w+"
 )
+_ELEMENT = re.compile(r"(?:<|&lt;)\s*([A-Za-z][A-Za-z_. ]{2,40})(?:>|&gt;)")
+#: A null value, what stands before it in its sentence, and after it.
+_NULL = re.compile(r"(?<![\w./-])(?:undefined|null|None|NaN)(?![\w/-]|\.\w)")
+_STATED = re.compile(r"\b(?:is|are|was|were|be|been|being|remains?|returns?|returned|returning|equals?|becomes?|became|or|not|left|of|as|than|contains?|with|called|says?|said|prints?|shows?|means?)\s+(?:an?\s+|the\s+)?$", re.IGNORECASE)
+_ARTICLE = re.compile(r"\b(?:an?|the|any|some|each|every|this|that|no|these|those)\s+$", re.IGNORECASE)
+_VERB = re.compile(r"\s+(?:will|would|can|cannot|could|shall|may|must|has|have|had)\b|\s+[a-z]+\s+(?:an?|the|[a-z]+ing|our|its|their)\b")
+_PRONOUN = re.compile(r"\s+(?:of|the\s?less|but|other|too|so|is|are|was|were|has|have|had|can|could|will|would|did|do|does|may|might|should|need|yet|other)\b")
+
+
+def is_null(before: str, value: str, after: str) -> bool:
+    """Whether a null value stands where a name or a figure belongs: nothing is said about it and it belongs to no noun."""
+    if value == "NaN":
+        return not _STATED.search(before) and not re.match(r"\s+(?:values?|results?|errors?|entries|cells?|checks?)\b", after)
+    first = not before.strip() or before.rstrip()[-1:] in ".!?"
+    if value == "None":
+        return not _PRONOUN.match(after) if first else not re.match(r"\s+of\b", after) and not _STATED.search(before)
+    if _STATED.search(before):
+        return False
+    noun = re.match(r"\s+[a-z]+", after)
+    return bool(_VERB.match(after)) if _ARTICLE.search(before) else not noun or first or bool(_VERB.match(after) or re.match(r"\s+(?:and|or|before|after|null|to|in|on|at|by|for)\b", after))
+
+
+def has_slot(text: str) -> bool:
+    """Whether a text outside quotations has a slot that was never filled."""
+    if _DELIMITED.search(text):
+        return True
+    for m in _ELEMENT.finditer(text):
+        name = m.group(1).strip()
+        if name.lower() not in _TAGS and f"</{name}" not in text and (m.group(0)[0] == "&" or "_" in name or "." in name or name.islower()):
+            return True
+    return any(is_null(text[max(0, m.start() - 40) : m.start()], m.group(0), text[m.end() : m.end() + 40]) for m in _NULL.finditer(text))
+
+
 _MASH = re.compile(r"\b(\w{2,8}(?: \w{1,6})?)(?:[\s,]+\1\b){3,}", re.IGNORECASE)
 _SENTENCES = re.compile(r"(?<=[.!?…])[\"'”’»)]*\s+|\n+")
 
@@ -170,22 +214,40 @@ def grams(text: bytes) -> np.ndarray:
     return (h * np.uint32(0x9E3779B1)) >> np.uint32(32 - 16)
 
 
-def fit(text: str, smooth: float = 0.02) -> np.ndarray:
-    """Log probabilities of the bins in text."""
-    counts = np.bincount(grams(text.encode()), minlength=BINS).astype(np.float64) + smooth
-    return np.log(counts / counts.sum())
+_SHAPE = bytes(97 if chr(b).islower() or b > 127 else 65 if chr(b).isupper() else 48 if 48 <= b < 58 else b for b in range(256))
 
 
-def train(prose: str, seed: int = 7) -> np.ndarray:
-    """Rows slot, filler, notice: log ratios of the bins to prose."""
+def counted(text: bytes | str) -> np.ndarray:
+    """How often each bin is in text."""
+    return np.bincount(grams(text.encode() if isinstance(text, str) else text), minlength=BINS).astype(np.float64)
+
+
+def _seeds(seed: int = 7) -> tuple[np.ndarray, ...]:
+    """Bin counts of the seeds: slot, filler, notice, shape of slots; prose, shape of prose."""
     rng = np.random.default_rng(seed)
     latin = " ".join(rng.choice(LATIN, 6000))
     latin += " ".join(f"{' '.join(rng.choice(LATIN, 8)).capitalize()}{m}" for m in (". ", ", ", "; ") for _ in range(200))
     mashed = "\n".join(" ".join([m] * 8) for m in MASHED)
-    texts = ("\n".join(SLOTS * 20), latin + "\n" + "\n".join(FILLER * 12) + mashed * 3, "\n".join(NOTICES * 12))
-    base = fit(PROSE * 8 + prose, 0.5)
-    # A bin that no prose has is worth no more than a rare one, so that new names and words of prose stay neutral.
-    return np.stack([np.clip(fit(t, 0.5) - base, -3.0, 4.0) for t in texts]).astype(np.float32)
+    around = "".join(x + (" ", ", ", ". ", " and ")[k % 4] for k, x in enumerate(SLOTS))
+    texts = (around, latin + "\n" + "\n".join(FILLER * 24) + mashed * 3, "\n".join(NOTICES))
+    return (*map(counted, texts), counted(texts[0].encode().translate(_SHAPE)), counted(PROSE), counted(PROSE.encode().translate(_SHAPE)))
+
+
+def train(prose: np.ndarray | None = None, filler: np.ndarray | None = None, notice: np.ndarray | None = None, shape: np.ndarray | None = None) -> np.ndarray:
+    """Rows slot, filler, notice, shape: log ratios of the bins to prose, from the seeds and the bin counts found in a corpus."""
+    *classes, floor, floor_shape = _seeds()
+    log = lambda c: np.log((c + 0.5) / (c + 0.5).sum())
+    scaled = lambda c, mass: c * (mass / max(1.0, c.sum()))
+    # Prose seeds keep a floor where a corpus has hardly any text; its weight grows with the text there is, up to the mass.
+    base = [log(f * 8 + (scaled(c, min(PROSE_MASS, c.sum())) if c is not None else 0)) for f, c in ((floor, prose), (floor_shape, shape))]
+    out = []
+    for k, (seeds, found) in enumerate(zip(classes, (None, filler, notice, None))):
+        mixed = scaled(seeds, CLASS_MASS)
+        if found is not None and found.sum():
+            mixed = (mixed + scaled(found, CLASS_MASS)) / 2
+        # A bin that no prose has is worth no more than a rare one, so that new names and words of prose stay neutral.
+        out.append(np.clip(log(mixed) - base[k == 3], -3.0, 4.0))
+    return np.stack(out).astype(np.float32)
 
 
 class Scorer:
@@ -194,12 +256,11 @@ class Scorer:
     def __init__(self, ratios: np.ndarray):
         self.ratios = ratios
 
-    def cumulated(self, raw: bytes) -> np.ndarray:
-        """Per class the running sums of the log ratios over raw, with a leading 0."""
-        out = np.zeros((len(self.ratios), len(raw) + 1), np.float64)
-        if raw:
-            np.cumsum(self.ratios[:, grams(raw)], axis=1, out=out[:, 1:])
-        return out
+    def hot(self, raw: bytes, rows: slice, window: int, least: float) -> np.ndarray:
+        """Where a window begins over which the mean log ratio of one of the rows is high."""
+        sums = np.zeros((len(self.ratios[rows]), len(raw) + 1), np.float64)
+        np.cumsum(self.ratios[rows][:, grams(raw)], axis=1, out=sums[:, 1:])
+        return (sums[:, window:] - sums[:, :-window] > least * window).any(axis=0)
 
     def suspects(self, texts: list[str]) -> np.ndarray:
         """Which texts have a window of a high ratio; they are scored in blocks of one buffer, so memory stays bounded."""
@@ -208,10 +269,11 @@ class Scorer:
         raw = b"\n".join(raws) + b"\n"
         hot = np.zeros(len(raw) + 1, bool)
         for at in range(0, len(raw), BLOCK):
-            sums = self.cumulated(raw[at : at + BLOCK + WINDOW])
-            if sums.shape[1] > WINDOW:
-                mean = (sums[:, WINDOW:] - sums[:, :-WINDOW]) / WINDOW
-                hot[at : at + mean.shape[1]] |= (mean > SUSPECT).any(axis=0)
+            block = raw[at : at + BLOCK + WINDOW]
+            for text, rows, window, least in ((block, slice(0, 3), WINDOW, SUSPECT), (block.translate(_SHAPE), slice(3, 4), SHAPE_WINDOW, SHAPE_SUSPECT)):
+                if len(text) > window:
+                    found = self.hot(text, rows, window, least)
+                    hot[at : at + len(found)] |= found
         count = np.concatenate([[0], np.cumsum(hot, dtype=np.int32)])
         return count[starts[1:] - 1] > count[starts[:-1]]
 
@@ -223,7 +285,7 @@ class Scorer:
     def judge(self, line: str) -> tuple[bool, bool, int, int]:
         """(has a slot, has filler, characters of notices, characters) of one line."""
         bare = _QUOTED.sub(" ", line)
-        slot = bool(_SLOT.search(bare))
+        slot = has_slot(bare)
         filler, notice, total = bool(_MASH.search(bare)), 0, 0
         for sentence in _SENTENCES.split(line):
             raw = sentence.strip().encode()
@@ -238,20 +300,82 @@ class Scorer:
         return slot, filler, notice, total
 
 
-def train_clean(sample: str) -> np.ndarray:
-    """train() on a sample of a corpus, without the lines that hold residue themselves."""
-    lines = [x for x in sample.split("\n") if not _SLOT.search(_QUOTED.sub(" ", x)) and not _MASH.search(x)]
-    scorer = Scorer(train("\n".join(lines)))
-    means = [scorer.mean(x.encode()) for x in lines]
-    return train("\n".join(x for x, m in zip(lines, means) if m[1] <= FILLER_MEAN and m[2] <= NOTICE_MEAN))
-
+def _blocks(texts) -> Iterator[bytes]:
+    """The texts as lines, in blocks of about BLOCK bytes."""
+    held, size = [], 0
+    for t in texts:
+        raw = t.encode()
+        held.append(raw)
+        size += len(raw)
+        if size >= BLOCK:
+            yield b"\n".join(held) + b"\n"
+            held, size = [], 0
+    if held:
+        yield b"\n".join(held) + b"\n"
+
+
+def _rows(counts: np.ndarray, kind: int) -> pd.DataFrame:
+    at = np.flatnonzero(counts)
+    return pd.DataFrame({"kind": np.full(len(at), kind, np.int32), "bin": at.astype(np.int32), "n": counts[at]})
+
+
+def _total(rows: list, kind: int) -> np.ndarray:
+    """The counts of a kind, of at most BINS rows (kind, bin, n) of each."""
+    out = np.zeros(BINS)
+    for r in rows:
+        if r.kind == kind:
+            out[r.bin] = r.n
+    return out
+
+
+def _prose_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Bin counts of the lines that the seeds do not take for residue."""
+    scorer, counts, shapes = Scorer(train()), np.zeros(BINS), np.zeros(BINS)
+    for f in batches:
+        for raw in _blocks(f["text"]):
+            codes = grams(raw)
+            ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+            starts = np.append(0, ends[:-1] + 1)
+            sizes = np.diff(np.append(starts, len(raw)))
+            means = np.add.reduceat(scorer.ratios[:, codes], starts, axis=1, dtype=np.float64) / sizes
+            clean = (means[0] < SUSPECT) & (means[1] <= FILLER_MEAN) & (means[2] <= NOTICE_MEAN)
+            keep = np.repeat(clean, sizes)
+            counts += np.bincount(codes[keep], minlength=BINS)
+            shapes += np.bincount(grams(raw.translate(_SHAPE))[keep], minlength=BINS)
+    yield _rows(counts, 0)
+    yield _rows(shapes, 3)
+
+
+def _messages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in batches:
+        rows = [(k, site, s) for k, site, text in zip(f["k"], f["site"], f["text"]) for s in {_DIGITS.sub("0", x.strip()) for x in _SENTENCES.split(text)} if s]
+        yield pd.DataFrame(rows, columns=["k", "site", "s"])
+
+
+_DIGITS = re.compile(r"\d+")
+
+
+def fitted(texts: DataFrame, short: DataFrame) -> np.ndarray:
+    """Log ratios fitted to a corpus: prose by all of texts (text), messages by the short records of short (k, site, text)."""
+    bins = session.spread(texts.where("text <> ''")).mapInPandas(_prose_bins, "kind int, bin int, n double").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()
+    prose, shape = _total(bins, 0), _total(bins, 3)
+    sentences = short.where((F.col("text") != "") & (F.length("text") <= SHORT_RECORD)).mapInPandas(_messages, "k string, site string, s string")
+    often = sentences.groupBy("s").agg(F.count_distinct("k").alias("records"), F.count_distinct("site").alias("sites")).where((F.col("records") >= RECORDS) & (F.col("sites") >= RECORDS)).select("s")
+    ratios = train(prose, shape=shape)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, counts = Scorer(ratios), {1: np.zeros(BINS), 2: np.zeros(BINS)}
+        for f in batches:
+            for s in f["s"]:
+                mean = scorer.mean(s.encode())
+                kind = 1 if mean[1] > mean[2] else 2
+                if mean[kind] > NEAR:
+                    counts[kind] += counted(s)
+        for kind, c in counts.items():
+            yield _rows(c, kind)
 
-def prose_sample(texts: DataFrame) -> str:
-    """At most about PROSE_CHARS characters of texts (text), spread over all rows by hash."""
-    rows, chars = texts.agg(F.count("text"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    keep = max(1, -(-int(chars) // PROSE_CHARS))
-    part = texts.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(keep)) == 0)) if rows else texts.limit(0)
-    return "\n".join(r.text for r in part.select(F.substring("text", 1, PROSE_CHARS // 8).alias("text")).toLocalIterator())
+    found = often.mapInPandas(near, "kind int, bin int, n double").groupBy("kind", "bin").agg(F.sum("n").alias("n")).collect()
+    return train(prose, _total(found, 1), _total(found, 2), shape)
 
 
 def _verdicts(scorer_ratios, key: str):
@@ -305,7 +429,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records of crawl_cache.clean_text and canonical_evidence.evidence_excerpt that hold residue."""
     pages = table(spark, folder, "crawl_cache", "url", F.col("clean_text").alias("text"))
     excerpts = table(spark, folder, "canonical_evidence", "evidence_id", F.col("evidence_excerpt").alias("text"))
-    ratios = spark.sparkContext.broadcast(train_clean(prose_sample(excerpts.select("text"))))
+    source = table(spark, folder, "canonical_evidence", F.col("evidence_id").alias("k"), host(F.col("source_url")).alias("site"), F.col("evidence_excerpt").alias("text"))
+    ratios = spark.sparkContext.broadcast(fitted(pages.select("text").unionByName(excerpts.select("text")), source))
     page_lines = session.cut(judged(pages, "url", ratios))
     body = wrappers.segmented(wrappers.crawl(spark, folder)).select("url", "body", "heads")
     rows = page_lines.join(body, "url")

@@ -6,7 +6,7 @@ from siltstone.llm.queries import QUERIES
 
 TABLES = {
     "crawl_cache": "url string, final_url string, title string, html string, clean_text string, fetched_at string, site string, line_no int",
-    "canonical_evidence": "evidence_id string, evidence_excerpt string, text string, lines string",
+    "canonical_evidence": "evidence_id string, evidence_excerpt string, source_url string, text string, lines string",
     "expert_data": "id bigint, expert_name string, affiliation string, name string, entity string",
     "investment_data": "id bigint, investor_or_organization string, name string",
     "documents": "doc_id bigint, text string, source string, body string, ids string, item_id string",
@@ -40,7 +40,7 @@ def test_repeated_rows(spark, tmp_path):
     page = ("https://a.example/1", "https://a.example/1", "T x y z - A", None, "Home\nT x y z\nThe crane of the quay was lifted in the storm of May.", None, "x", 1)
     item = " ".join(f"word{i}" for i in range(14))
     rows = {
-        "crawl_cache": [page, page], "canonical_evidence": [("e", "Contact: NaN.", "", "")] * 2, "expert_data": [(1, "Ada Lonker", "Lonker Labs", "n", "e"), (2, "LONKER, Ada", "Lonker Laboratories", "n", "e")] * 2,
+        "crawl_cache": [page, page], "canonical_evidence": [("e", "Contact: NaN.", None, "", "")] * 2, "expert_data": [(1, "Ada Lonker", "Lonker Labs", "n", "e"), (2, "LONKER, Ada", "Lonker Laboratories", "n", "e")] * 2,
         "documents": [(1, item + " and more of it.", "s", "b", "i", "t")] * 2, "eval_items": [(7, "s", item, "d")] * 2,
     }
     path = folder(spark, tmp_path, rows)

@@ -1,13 +1,16 @@
 """Sums of money in mixed currencies, scales and notations, brought to euros.
 
-A parser reads what the value itself says: one sum or a range, its notation, scale and currency. Where the value names
-no currency, a calibrated tree ensemble decides it: each candidate unit of a row is scored from the magnitude, the
-source, the category and the neighbouring fields (a currency column, a sentence on how amounts are stated), a random
-forest trained on the rows whose value does name its currency, its scores calibrated by isotonic regression on rows
-held out. Assignments of at least ``CONFIDENT`` are converted; the rest go to the review list (p5_review).
-
-Defined results: null, blank, percentages and words without a number give no row; repeated rows are one row; a sum
-beyond 18 digits gives no row; with no labelled rows to learn from, what a neighbouring field states alone decides.
+A parser reads what the value itself says: one sum or a range, its notation, scale and currency. Where the value names no
+currency, a calibrated tree ensemble decides on currency and scale together: each candidate (unit, power of ten) of a row is
+scored from the magnitude it would give, the source, the category and the neighbouring fields (a currency column, a sentence
+on how amounts are stated). A random forest is trained on rows whose value does name its unit, with that hidden: the scale
+word of half of them, and the hints of a part of them, at random, so that the forest learns what a hint is worth and what
+magnitude, source and category say without one. Its scores are calibrated by isotonic regression on rows held out.
+Assignments of at least ``CONFIDENT`` are converted; the rest go to the review list (p5_review).
+
+Defined results: null, blank, percentages and words without a number give no row; repeated rows are one row; a named but
+unknown currency and a sum from 10^18 euros on are reviewed; with fewer than ``FEW`` labelled rows to learn from, what the
+neighbouring fields state alone decides, if they agree.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +33,13 @@ from siltstone.functions.urls import host
 from siltstone.sources.tables import table
 
 #: Rows with a stated currency that the forest is trained on, at most; statistics cover all rows.
-LABELLED_ROWS = 20_000
+LABELLED_ROWS = 6_000
+#: Labelled rows from which a forest is trained.
+FEW = 200
+#: Percent of labelled rows whose scale is hidden, whose hints on the currency are hidden, and whose hints are wrong.
+HIDE_SCALE, HIDE_HINT, WRONG = 50, 40, 1
+#: Powers of ten that a value without a scale may stand for.
+POWERS = (0, 3, 6)
 #: Calibrated probability from which a missing unit is assigned; less goes to review.
 CONFIDENT = 0.9
 
@@ -46,6 +55,15 @@ _WORDS = {
     "ETH": r"ETH|ether tokens?|ether",
 }
 CODES = list(_WORDS)
+# Codes, marks and names of currencies that unit_rates does not have.
+_OTHER = (
+    "AED ARS AUD BGN BRL CAD CLP CNY COP CZK DKK EGP HKD HUF IDR ILS ISK KES KRW MAD MXN MYR NGN NOK NZD PEN PHP PKR PLN QAR RON RSD RUB SAR SGD "
+    "THB TRY TWD UAH UYU VND XAF XOF ZAR BTC USDT"
+).split()
+_UNKNOWN = re.compile(
+    rf"(?<![A-Za-z])(?:{'|'.join(_OTHER)})(?![A-Za-z])|(?<![A-Za-z])(?!US\$)[A-Z]{{1,2}}\$|[₩₽₺₴₦₱฿₫₪]|(?i:\bz[łl]oty|\bzł|\byuan|\brenminbi|\brubles?|\breais|\bpesos?|\brand\b"
+    r"|\b(?:canadian|australian|hong kong|singapore|new zealand) dollars?|\b(?:norwegian|danish|czech|icelandic) \w+|\bkroner\b)"
+)
 _CODE = re.compile("|".join(f"(?P<{c}>{w})" for c, w in _WORDS.items()), re.IGNORECASE)
 _CUR = "|".join(_WORDS.values())
 _SCALES = (
@@ -114,8 +132,10 @@ def number(text: str, scaled: bool, token: bool) -> Decimal:
     return Decimal(mantissa) * (Decimal(10) ** int(exponent) if exponent else 1)
 
 
-def parse(value: str | None, scaled_by_text: bool = False) -> tuple[Decimal, Decimal, str | None, bool] | None:
-    """(low, high, currency or None, whether the value names a scale) of a value that states a sum, else None."""
+def parse(value: str | None, scaled_by_text: bool = False) -> tuple[Decimal, Decimal, str | None, int | None] | None:
+    """(low, high, currency, power of ten of the scale that the value names) of a value that states a sum, else None.
+
+    The currency is None if none is named, and ``?`` if an unknown one is."""
     if not value or "%" in value:
         return None
     value = _SPELT_SUM.sub(lambda m: f"{_SPELT[m.group(1).lower()]} ", value)
@@ -127,6 +147,8 @@ def parse(value: str | None, scaled_by_text: bool = False) -> tuple[Decimal, Dec
         pair = found[:2]
     names = [m.group("c1") or m.group("c2") for m in pair]
     code = next((code_of(n) for n in names if n), None)
+    if _UNKNOWN.search(value) and (code is None or not names[0] or _UNKNOWN.search(value[: pair[0].end()])):
+        code = "?"
     powers = []
     for m in pair:
         power = _power(m.group("sc"))
@@ -139,7 +161,7 @@ def parse(value: str | None, scaled_by_text: bool = False) -> tuple[Decimal, Dec
     for m, power in zip(pair, powers):
         use = power if power is not None else named
         out.append(number(m.group("n"), use is not None or scaled_by_text, code == "ETH") * Decimal(10) ** (use or 0))
-    return min(out), max(out), code, named is not None
+    return min(out), max(out), code, named
 
 
 def hint(text: str | None) -> tuple[str | None, int]:
@@ -153,8 +175,8 @@ def hint(text: str | None) -> tuple[str | None, int]:
 
 
 _PARSED = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("low", "high", "code", "text_code", "column_code")]
-    + [T.StructField(n, T.DoubleType()) for n in ("magnitude", "own_scale", "text_power")]
+    [T.StructField(n, T.StringType()) for n in ("low", "high", "scaled_low", "scaled_high", "code", "text_code", "column_code")]
+    + [T.StructField("raw", T.DoubleType()), T.StructField("own_power", T.IntegerType()), T.StructField("text_power", T.IntegerType())]
 )
 
 
@@ -163,29 +185,29 @@ def _parse(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
     for values, columns, texts in batches:
         rows = []
         for value, column, text in zip(values, columns, texts):
-            text_code, power = hint(text)
-            got = parse(value, power > 0)
+            got = parse(value)
             if got is None:
-                rows.append((None,) * 8)
+                rows.append((None,) * len(_PARSED))
                 continue
             low, high, code, own = got
-            if code is None and not own:
-                low, high = low.scaleb(power), high.scaleb(power)
-            size = float(high.log10()) if high > 0 else 0.0
-            rows.append((f"{low:f}", f"{high:f}", code, text_code, code_of(column), size, float(own), float(power)))
-        yield pd.DataFrame(rows, columns=_PARSED.names)
+            scaled = parse(value, True)
+            text_code, power = hint(text)
+            size = float(high.log10()) - (own or 0) if high > 0 else 0.0
+            rows.append((f"{low:f}", f"{high:f}", f"{scaled[0]:f}", f"{scaled[1]:f}", code, text_code, code_of(column), size, own, power if text_code or power else None))
+        out = pd.DataFrame(rows, columns=_PARSED.names)
+        yield out.astype({"own_power": "Int32", "text_power": "Int32"})
 
 
 @F.pandas_udf(T.LongType())
-def _euros(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for amounts, rates in batches:
+def _euros(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for amounts, rates, scales in batches:
         out = []
-        for amount, rate in zip(amounts, rates):
+        for amount, rate, scale in zip(amounts, rates, scales):
             if amount is None or rate is None:
                 out.append(None)
                 continue
-            euros = (Decimal(amount) * Decimal(rate)).quantize(Decimal(1), ROUND_HALF_UP)
-            out.append(int(euros) if abs(euros) < 10**18 else None)
+            euros = Decimal(amount).scaleb(int(scale)) * Decimal(rate)
+            out.append(int(euros.quantize(Decimal(1), ROUND_HALF_UP)) if abs(euros) < 10**18 else None)
         yield pd.Series(out, dtype="Int64")
 
 
@@ -205,23 +227,26 @@ def parsed(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("table_name", "row_id", "value", "site", "category", "_p.*").where(F.col("low").isNotNull())
 
 
-FEATURES = ("stated_column", "stated_text", "stated", "others", "magnitude", "distance", "site_share", "category_share", "share")
+FEATURES = ("stated", "others", "hinted", "power_stated", "power", "named_scale", "distance", "site_share", "category_share", "share")
 
 
 def candidates(rows: DataFrame, stats: DataFrame, by_site: DataFrame, by_category: DataFrame) -> DataFrame:
-    """rows, once per candidate unit, with the features of that assignment."""
-    units = F.explode(F.array(*[F.lit(c) for c in CODES])).alias("unit")
-    df = rows.select("*", units).join(stats, ["table_name", "unit"], "left")
+    """rows, once per candidate unit and power, with the features of that assignment."""
+    units = F.array(*[F.lit(c) for c in CODES])
+    pairs = F.flatten(F.transform("powers", lambda p: F.transform(units, lambda u: F.struct(u.alias("unit"), p.alias("power")))))
+    df = rows.select("*", F.inline(pairs)).join(stats, ["table_name", "unit"], "left")
     df = df.join(by_site, ["site", "unit"], "left").join(by_category, ["category", "unit"], "left")
     is_unit = lambda c: F.coalesce((F.col(c) == F.col("unit")).cast("double"), F.lit(0.0))
     other = lambda c: F.coalesce((F.col(c) != F.col("unit")).cast("double"), F.lit(0.0))
+    size = F.abs(F.col("raw") + F.col("power") - F.col("centre")) / F.greatest(F.col("width"), F.lit(0.1))
     return df.withColumns(
         {
-            "stated_column": is_unit("column_code"),
-            "stated_text": is_unit("text_code"),
-            "stated": F.greatest(is_unit("column_code"), is_unit("text_code")),
-            "others": other("column_code") + other("text_code"),
-            "distance": F.coalesce(F.abs(F.col("magnitude") - F.col("centre")) / F.greatest(F.col("width"), F.lit(0.1)), F.lit(9.0)),
+            "stated": F.greatest(is_unit("column_hint"), is_unit("text_hint")),
+            "others": other("column_hint") + other("text_hint"),
+            "hinted": (F.col("column_hint").isNotNull() | F.col("text_hint").isNotNull()).cast("double"),
+            "power_stated": F.coalesce(F.when(F.col("power") == F.col("power_hint"), 1.0).when(F.col("power_hint").isNotNull(), -1.0), F.lit(0.0)),
+            "named_scale": (F.size("powers") == 1).cast("double"),
+            "distance": F.coalesce(F.least(size, F.lit(9.0)), F.lit(9.0)),
             "site_share": F.coalesce(F.col("site_share"), F.lit(0.0)),
             "category_share": F.coalesce(F.col("category_share"), F.lit(0.0)),
             "share": F.coalesce(F.col("share"), F.lit(0.0)),
@@ -229,54 +254,108 @@ def candidates(rows: DataFrame, stats: DataFrame, by_site: DataFrame, by_categor
     )
 
 
-def assigned(spark: SparkSession, folder: str) -> DataFrame:
-    """parsed() with ``unit`` and ``confidence``: what the value names (1.0), else the ensemble's best candidate."""
-    rows = session.cut(parsed(spark, folder))
-    named, missing = rows.where(F.col("code").isNotNull()), rows.where(F.col("code").isNull())
+def _draw(salt: int) -> Column:
+    """A number of 0 to 99 that a row draws, the same one in every run."""
+    return F.pmod(F.xxhash64("table_name", "row_id", F.lit(salt)), F.lit(100))
+
+
+def masked(named: DataFrame, hide_hint: int = HIDE_HINT) -> DataFrame:
+    """Rows whose value names its unit, as if it named none: with true_power, and the hints that stand beside such a row.
+
+    The scale of HIDE_SCALE percent is hidden. The currency column and a sentence on amounts are each hidden for hide_hint
+    percent and wrong for WRONG percent; a hidden scale is told by a sentence, but for WRONG percent.
+    """
+    power = F.coalesce("own_power", F.lit(0))
+    hide = (_draw(1) < HIDE_SCALE) & power.isin(*POWERS)
+    wrong = F.element_at(F.array(*[F.lit(c) for c in CODES]), (_draw(2) % len(CODES) + 1).cast("int"))
+    column = F.when(_draw(3) >= hide_hint, F.coalesce("column_code", F.when(_draw(4) < 50, F.col("code"))))
+    text = F.when((_draw(5) >= hide_hint) & (_draw(6) < 50), F.when(_draw(7) < WRONG, wrong).otherwise(F.col("code")))
+    told = F.when(_draw(8) < WRONG, F.element_at(F.array(*[F.lit(p) for p in POWERS]), (_draw(9) % len(POWERS) + 1).cast("int"))).otherwise(power)
+    sentence = hide & ((power > 0) & (_draw(10) >= WRONG) | text.isNotNull())
+    return named.withColumns(
+        {
+            "true_power": power,
+            "powers": F.when(hide | F.col("own_power").isNull(), F.array(*[F.lit(p) for p in POWERS])).otherwise(F.array(power)),
+            "column_hint": F.when(_draw(11) < WRONG, wrong).otherwise(column),
+            "text_hint": text,
+            "power_hint": F.when(sentence | ((power == 0) & text.isNotNull()), told),
+        }
+    )
+
+
+def trained(named: DataFrame, stats: DataFrame, *shares: DataFrame):
+    """Scores candidates: the calibrated forest as a function of a frame of candidates, which gets ``raw_score`` and ``confidence``."""
+    n = named.count()
+    keep = F.pmod(F.xxhash64("table_name", "row_id"), F.lit(max(1, -(-n // LABELLED_ROWS)))) == 0
+    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    if n < FEW:
+        agreed = F.col("stated") * (F.col("others") == 0).cast("double")
+        right = F.when(F.col("power_stated") == 0, (F.col("power") == 0) | (F.size("powers") == 1)).otherwise(F.col("power_stated") > 0)
+        return lambda df: df.withColumns({"raw_score": agreed, "confidence": agreed * right.cast("double")})
+    label = ((F.col("unit") == F.col("code")) & (F.col("power") == F.col("true_power"))).cast("double")
+    learn = candidates(masked(named.where(keep)), stats, *shares).withColumn("label", label)
+    learn = session.cut(assemble.transform(learn).select("table_name", "row_id", "features", "label"))
+    fold = F.pmod(F.xxhash64("row_id", "table_name"), F.lit(5))
+    forest = RandomForestClassifier(numTrees=40, maxDepth=8, minInstancesPerNode=20, seed=7, featureSubsetStrategy="all").fit(learn.where(fold > 0))
+    raw = lambda df: forest.transform(df).withColumn("raw_score", vector_to_array("probability")[1])
+    held = raw(learn.where(fold == 0)).select("label", F.col("raw_score").alias("features"))
+    calibrate = IsotonicRegression(labelCol="label").fit(held).setFeaturesCol("raw_score").setPredictionCol("confidence")
+    return lambda df: calibrate.transform(raw(assemble.transform(df)).drop("features"))
+
+
+def best(scored: DataFrame, *more: str) -> DataFrame:
+    """The best candidate of each row, with its confidence."""
+    order = ("confidence", "raw_score", "stated", "power_stated", "unit", "power")
+    one = scored.groupBy("table_name", "row_id", "value").agg(F.max(F.struct(*order, *more)).alias("b"))
+    return one.select("table_name", "row_id", "value", "b.*")
+
+
+def statistics(named: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(magnitudes of a table's units, shares of units by site, by category), over all rows that name their unit."""
     by = lambda *keys: named.groupBy(*keys, F.col("code").alias("unit"))
-    stats = by("table_name").agg(F.avg("magnitude").alias("centre"), F.coalesce(F.stddev("magnitude"), F.lit(1.0)).alias("width"), F.count("*").alias("n"))
-    total = F.sum("n")
+    size, total = F.col("raw") + F.coalesce("own_power", F.lit(0)), F.sum("n")
+    stats = by("table_name").agg(F.avg(size).alias("centre"), F.coalesce(F.stddev(size), F.lit(1.0)).alias("width"), F.count("*").alias("n"))
     stats = stats.join(stats.groupBy("table_name").agg(total.alias("t")), "table_name")
-    stats = stats.select("table_name", "unit", "centre", "width", (F.col("n") / F.col("t")).alias("share"))
     shares = []
     for key in ("site", "category"):
         counts = by(key).agg(F.count("*").alias("n"))
-        sums = counts.groupBy(key).agg(total.alias("t"))
-        shares.append(counts.join(sums, key).select(key, "unit", (F.col("n") / (F.col("t") + 5)).alias(f"{key}_share")))
-    n = named.count()
-    keep = F.pmod(F.xxhash64("table_name", "row_id"), F.lit(max(1, -(-n // LABELLED_ROWS)))) == 0
-    # An assignment is learnt with the value's own currency hidden. A sentence on amounts stands only beside values
-    # that name none, so what it says and what a currency column says are one feature to the forest: ``stated``.
-    learn = candidates(named.where(keep), stats, *shares).withColumn("label", (F.col("unit") == F.col("code")).cast("double"))
-    used = [f for f in FEATURES if f not in ("stated_column", "stated_text")]
-    assemble = VectorAssembler(inputCols=used, outputCol="features")
-    scored = candidates(missing, stats, *shares)
-    if n:
-        learn = session.cut(assemble.transform(learn).select("table_name", "row_id", "features", "label", "stated"))
-        fold = F.pmod(F.xxhash64("row_id", "table_name"), F.lit(5))
-        forest = RandomForestClassifier(numTrees=40, maxDepth=6, seed=7, featureSubsetStrategy="all").fit(learn.where(fold > 0))
-        raw = lambda df: forest.transform(df).withColumn("raw", vector_to_array("probability")[1])
-        held = raw(learn.where(fold == 0)).select("label", F.col("raw").alias("features"))
-        calibrate = IsotonicRegression(labelCol="label").fit(held if held.limit(1).count() else raw(learn).select("label", F.col("raw").alias("features")))
-        scored = raw(assemble.transform(scored)).drop("features")
-        scored = calibrate.setFeaturesCol("raw").setPredictionCol("confidence").transform(scored)
-    else:
-        scored = scored.withColumn("raw", F.col("stated")).withColumn("confidence", F.col("stated") * (F.col("others") == 0).cast("double"))
-    best = scored.groupBy("table_name", "row_id").agg(F.max(F.struct("confidence", "raw", "stated", "unit", "low", "high", "value")).alias("b"))
-    best = best.select("table_name", "row_id", "b.*")
-    known = named.select("table_name", "row_id", F.lit(1.0).alias("confidence"), F.col("code").alias("unit"), "low", "high", "value")
-    return known.unionByName(best.select(*known.columns))
+        shares.append(counts.join(counts.groupBy(key).agg(total.alias("t")), key).select(key, "unit", (F.col("n") / (F.col("t") + 5)).alias(f"{key}_share")))
+    return stats.select("table_name", "unit", "centre", "width", (F.col("n") / F.col("t")).alias("share")), *shares
+
+
+def assigned(spark: SparkSession, folder: str) -> DataFrame:
+    """parsed() with ``unit``, ``low``, ``high`` and ``confidence``: what the value names (1.0), else the ensemble's best
+    candidate; a unit of ``?`` is a named but unknown currency (0.0)."""
+    rows = session.cut(parsed(spark, folder))
+    known, missing = rows.where("code IS NOT NULL AND code <> '?'"), rows.where("code IS NULL")
+    stats, *shares = statistics(known)
+    score = trained(known, stats, *shares)
+    powers = F.when(F.col("own_power").isNotNull(), F.array("own_power")).otherwise(F.array(*[F.lit(p) for p in POWERS]))
+    asked = missing.withColumns({"powers": powers, "column_hint": F.col("column_code"), "text_hint": F.col("text_code"), "power_hint": F.when(F.col("own_power").isNull(), F.col("text_power"))})
+    chosen = best(score(candidates(asked, stats, *shares)), "low", "high", "scaled_low", "scaled_high", "own_power", "others")
+    # Where a neighbouring field names another currency than the best candidate, a person decides.
+    chosen = chosen.withColumn("confidence", F.when(F.col("others") > 0, F.least("confidence", F.lit(0.5))).otherwise(F.col("confidence")))
+    scale = F.when(F.col("own_power").isNull(), F.col("power")).otherwise(0)
+    chosen = chosen.withColumns({c: F.when(scale > 0, F.col(f"scaled_{c}")).otherwise(F.col(c)) for c in ("low", "high")}).withColumn("scale", scale)
+    columns = ("table_name", "row_id", "value", "unit", "scale", "low", "high", "confidence")
+    named = rows.where("code IS NOT NULL").withColumns({"unit": F.col("code"), "scale": F.lit(0), "confidence": F.when(F.col("code") == "?", 0.0).otherwise(1.0)})
+    return named.select(*columns).unionByName(chosen.select(*columns))
+
+
+def _converted(spark: SparkSession, folder: str) -> DataFrame:
+    """assigned() with low_eur and high_eur, null where there is no rate or the sum is too large."""
+    rates = table(spark, folder, "unit_rates", "unit_code", "eur_value").select(F.col("unit_code").alias("unit"), F.col("eur_value").cast("string").alias("rate"))
+    sums = assigned(spark, folder).join(rates, "unit", "left")
+    return sums.withColumns({"low_eur": _euros("low", "rate", "scale"), "high_eur": _euros("high", "rate", "scale")})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every stated sum in whole euros, by unit_rates."""
-    rates = table(spark, folder, "unit_rates", "unit_code", "eur_value").select(F.col("unit_code").alias("unit"), F.col("eur_value").cast("string").alias("rate"))
-    sums = assigned(spark, folder).where(F.col("confidence") >= CONFIDENT).join(rates, "unit")
-    sums = sums.select("table_name", "row_id", _euros("low", "rate").alias("low_eur"), _euros("high", "rate").alias("high_eur"))
-    return sums.where(F.col("low_eur").isNotNull() & F.col("high_eur").isNotNull()).distinct()
+    sums = _converted(spark, folder).where((F.col("confidence") >= CONFIDENT) & F.col("low_eur").isNotNull() & F.col("high_eur").isNotNull())
+    return sums.select("table_name", "row_id", "low_eur", "high_eur").distinct()
 
 
 def p5_review(spark: SparkSession, folder: str) -> DataFrame:
-    """Figures whose unit stays uncertain, with the best candidate and its calibrated probability."""
-    rows = assigned(spark, folder).where(F.col("confidence") < CONFIDENT)
-    return rows.select("table_name", "row_id", "value", F.col("unit").alias("candidate"), F.round("confidence", 4).alias("confidence"))
+    """Figures whose unit or scale stays uncertain or has no rate, with the best candidate and its calibrated probability."""
+    rows = _converted(spark, folder).where((F.col("confidence") < CONFIDENT) | F.col("low_eur").isNull() | F.col("high_eur").isNull())
+    return rows.select("table_name", "row_id", "value", F.col("unit").alias("candidate"), F.col("scale").cast("int").alias("power"), F.round("confidence", 4).alias("confidence")).distinct()

@@ -65,3 +65,48 @@ def test_empty_tables(spark, tmp_path):
 
     _folder(spark, tmp_path, [])
     assert p5_found(spark, str(tmp_path)).count() == 0
+
+
+def test_unknown_currencies_and_contradictions_are_reviewed(spark, tmp_path):
+    from siltstone.operators.money_units import p5_found, p5_review
+
+    u = "https://a.example/1"
+    rows = [(i, f"{('USD', 'EUR', 'GBP')[i % 3]} {(2 + i % 7) * 10 ** (3 + i % 2)}", ("USD", "EUR", "GBP")[i % 3] if i % 2 else None, None, u, "x", "") for i in range(300)]
+    rows += [(900, "CAD 150,000", "EUR", None, u, "x", ""), (901, "PLN 2 million", None, None, u, "x", ""), (902, "A$ 3m", None, None, u, "x", ""), (903, "500 Canadian dollars", "EUR", None, u, "x", "")]
+    rows += [(904, "40,000", "EUR", "Amounts are stated in pounds sterling.", u, "x", ""), (905, "40,000", None, None, u, "x", ""), (906, "40,000", "GBP", None, u, "x", "")]
+    rows += [(907, "40", None, "Amounts are stated in thousands of US dollars.", u, "x", ""), (908, f"EUR {10**19}", None, None, u, "x", ""), (909, "12k", "EUR", None, u, "x", "")]
+    _folder(spark, tmp_path, rows)
+    got = {r.row_id: r.low_eur for r in p5_found(spark, str(tmp_path)).collect()}
+    assert {900, 901, 902, 903, 904, 905, 908} & set(got) == set()
+    assert got[906] == 46800 and got[907] == 36800 and got[909] == 12000
+    review = {r.row_id: (r.candidate, r.confidence) for r in p5_review(spark, str(tmp_path)).collect()}
+    assert set(review) == {900, 901, 902, 903, 904, 905, 908} and review[900] == ("?", 0.0) and 0 < review[904][1] < 0.9
+
+
+def test_one_labelled_row_is_enough(spark, tmp_path):
+    from siltstone.operators.money_units import p5_found, p5_review
+
+    u = "https://a.example/1"
+    _folder(spark, tmp_path, [(1, "EUR 5", None, None, u, "x", ""), (2, "7", "USD", None, u, "x", ""), (3, "8", None, "Amounts are stated in thousands of pounds.", u, "x", ""), (4, "9", None, None, u, "x", "")])
+    assert {r.row_id: r.low_eur for r in p5_found(spark, str(tmp_path)).collect()} == {1: 5, 2: 6, 3: 9360}
+    assert [r.row_id for r in p5_review(spark, str(tmp_path)).collect()] == [4]
+
+
+def test_scale_and_unit_of_held_out_rows(spark, tmp_path):
+    """With every hint hidden the ensemble does better than the commonest unit, and its confidence is honest."""
+    from pyspark.sql import functions as F
+
+    from siltstone.operators.money_units import best, candidates, masked, parsed, statistics, trained
+
+    units = [("EUR", 4, "https://a.example/1", "x"), ("USD", 6, "https://b.example/1", "y"), ("GBP", 5, "https://c.example/1", "z")]
+    rows = []
+    for i in range(900):
+        code, size, url, focus = units[(i * 7919) % 3]
+        rows.append((i, f"{code} {(1 + i * 31 % 9) * 10**size}", code if i % 2 else None, None, url if i % 5 else None, focus if i % 4 else None, ""))
+    _folder(spark, tmp_path, rows)
+    named = parsed(spark, str(tmp_path))
+    held = F.col("row_id") % 10 == 0
+    stats, *shares = statistics(named.where(~held))
+    scored = best(trained(named.where(~held), stats, *shares)(candidates(masked(named.where(held), hide_hint=100), stats, *shares)), "code", "true_power").toPandas()
+    right = (scored["unit"] == scored["code"]) & (scored["power"] == scored["true_power"])
+    assert right.mean() > 0.8 and abs(right.mean() - scored["confidence"].mean()) < 0.2

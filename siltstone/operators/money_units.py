@@ -36,8 +36,8 @@ from siltstone.sources.tables import table
 LABELLED_ROWS = 6_000
 #: Labelled rows from which a forest is trained.
 FEW = 200
-#: Percent of labelled rows whose scale is hidden, whose hints on the currency are hidden, and whose hints are wrong.
-HIDE_SCALE, HIDE_HINT, WRONG = 50, 40, 1
+#: Percent of labelled rows whose scale is hidden, and whose hints on the currency are hidden.
+HIDE_SCALE, HIDE_HINT = 50, 40
 #: Powers of ten that a value without a scale may stand for.
 POWERS = (0, 3, 6)
 #: Calibrated probability from which a missing unit is assigned; less goes to review.
@@ -256,27 +256,37 @@ def candidates(rows: DataFrame, stats: DataFrame, by_site: DataFrame, by_categor
 
 def _draw(salt: int) -> Column:
     """A number of 0 to 99 that a row draws, the same one in every run."""
-    return F.pmod(F.xxhash64("table_name", "row_id", F.lit(salt)), F.lit(100))
+    return F.pmod(F.xxhash64("table_name", "row_id", F.lit(salt)), F.lit(10_000)) / 100
 
 
-def masked(named: DataFrame, hide_hint: int = HIDE_HINT) -> DataFrame:
+def misled(named: DataFrame) -> float:
+    """Percent of the currency columns that name another currency than the value beside them, over all rows that name both."""
+    both = named.where(F.col("column_code").isNotNull())
+    return both.agg(F.coalesce(100 * F.avg((F.col("column_code") != F.col("code")).cast("double")), F.lit(0.0))).first()[0]
+
+
+def masked(named: DataFrame, hide_hint: int = HIDE_HINT, wrong_hint: float = 0.0) -> DataFrame:
     """Rows whose value names its unit, as if it named none: with true_power, and the hints that stand beside such a row.
 
-    The scale of HIDE_SCALE percent is hidden. The currency column and a sentence on amounts are each hidden for hide_hint
-    percent and wrong for WRONG percent; a hidden scale is told by a sentence, but for WRONG percent.
+    HIDE_SCALE percent are written without their scale, in units, thousands or millions. The currency column, which may be
+    wrong itself, and a sentence on amounts are each hidden for hide_hint percent; a sentence names currency and scale, and is
+    as often wrong as columns are (wrong_hint percent); a hidden scale is told by a sentence, but as often not.
     """
-    power = F.coalesce("own_power", F.lit(0))
-    hide = (_draw(1) < HIDE_SCALE) & power.isin(*POWERS)
-    wrong = F.element_at(F.array(*[F.lit(c) for c in CODES]), (_draw(2) % len(CODES) + 1).cast("int"))
+    own = F.coalesce("own_power", F.lit(0))
+    hide = _draw(1) < HIDE_SCALE
+    some = lambda salt: F.element_at(F.array(*[F.lit(p) for p in POWERS]), (F.floor(_draw(salt) * 100) % len(POWERS) + 1).cast("int"))
+    power = F.when(hide, some(12)).otherwise(own)
+    wrong = F.element_at(F.array(*[F.lit(c) for c in CODES]), (F.floor(_draw(2) * 100) % len(CODES) + 1).cast("int"))
     column = F.when(_draw(3) >= hide_hint, F.coalesce("column_code", F.when(_draw(4) < 50, F.col("code"))))
-    text = F.when((_draw(5) >= hide_hint) & (_draw(6) < 50), F.when(_draw(7) < WRONG, wrong).otherwise(F.col("code")))
-    told = F.when(_draw(8) < WRONG, F.element_at(F.array(*[F.lit(p) for p in POWERS]), (_draw(9) % len(POWERS) + 1).cast("int"))).otherwise(power)
-    sentence = hide & ((power > 0) & (_draw(10) >= WRONG) | text.isNotNull())
+    text = F.when((_draw(5) >= hide_hint) & (_draw(6) < 50), F.when(_draw(7) < wrong_hint, wrong).otherwise(F.col("code")))
+    told = F.when(_draw(8) < wrong_hint, some(9)).otherwise(power)
+    sentence = hide & ((power > 0) & (_draw(10) >= wrong_hint) | text.isNotNull())
     return named.withColumns(
         {
             "true_power": power,
+            "raw": F.when(hide, F.col("raw") + own - power).otherwise(F.col("raw")),
             "powers": F.when(hide | F.col("own_power").isNull(), F.array(*[F.lit(p) for p in POWERS])).otherwise(F.array(power)),
-            "column_hint": F.when(_draw(11) < WRONG, wrong).otherwise(column),
+            "column_hint": column,
             "text_hint": text,
             "power_hint": F.when(sentence | ((power == 0) & text.isNotNull()), told),
         }
@@ -293,10 +303,10 @@ def trained(named: DataFrame, stats: DataFrame, *shares: DataFrame):
         right = F.when(F.col("power_stated") == 0, (F.col("power") == 0) | (F.size("powers") == 1)).otherwise(F.col("power_stated") > 0)
         return lambda df: df.withColumns({"raw_score": agreed, "confidence": agreed * right.cast("double")})
     label = ((F.col("unit") == F.col("code")) & (F.col("power") == F.col("true_power"))).cast("double")
-    learn = candidates(masked(named.where(keep)), stats, *shares).withColumn("label", label)
+    learn = candidates(masked(named.where(keep), wrong_hint=misled(named)), stats, *shares).withColumn("label", label)
     learn = session.cut(assemble.transform(learn).select("table_name", "row_id", "features", "label"))
     fold = F.pmod(F.xxhash64("row_id", "table_name"), F.lit(5))
-    forest = RandomForestClassifier(numTrees=40, maxDepth=8, minInstancesPerNode=20, seed=7, featureSubsetStrategy="all").fit(learn.where(fold > 0))
+    forest = RandomForestClassifier(numTrees=40, maxDepth=9, minInstancesPerNode=2, seed=7, featureSubsetStrategy="all").fit(learn.where(fold > 0))
     raw = lambda df: forest.transform(df).withColumn("raw_score", vector_to_array("probability")[1])
     held = raw(learn.where(fold == 0)).select("label", F.col("raw_score").alias("features"))
     calibrate = IsotonicRegression(labelCol="label").fit(held).setFeaturesCol("raw_score").setPredictionCol("confidence")

@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from siltstone import session
 
-#: Rounds, at most; the number of rounds grows with the logarithm of a component's diameter.
-ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id of each connected component of edges (a, b), by alternating large and small stars.
 
-    Each round replaces edges by edges to smaller ids; every round's edges are written to the shared folder, so lineage
+    Rounds go on until the edges no longer change; their number grows with the logarithm of a component's diameter. Each
+    round replaces edges by edges to smaller ids; every round's edges are written to the shared folder, so lineage
     stays short. No component is ever gathered in one task.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     now = session.cut(edges.select("a", "b").where("a <> b").distinct())
-    for _ in range(ROUNDS):
+    while True:
         # Large star: each node's larger neighbours are joined to its smallest neighbour (or itself).
         near = both(now)
         least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

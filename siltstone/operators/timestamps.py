@@ -6,13 +6,14 @@ offset itself comes from the JVM's zone rules, whose local-to-instant rule is th
 reading of a doubled hour, a skipped hour moved forward by the gap.
 
 Defined results: null, blank and values that state no moment give no row; impossible dates (31 April, month 13) give
-no row; a time without zone whose site is unknown gives no row; a numeric slash date of an unknown site is read only
+no row; a time without zone whose site is unknown, or with the name of no zone, gives no row; a numeric slash date of an unknown site is read only
 if one order of day and month is possible.
 """
 
 from __future__ import annotations
 
 import re
+import zoneinfo
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,9 @@ ABBREVIATIONS = {
     "PST": -480, "PDT": -420, "IST": 330, "JST": 540, "KST": 540, "SGT": 480, "HKT": 480, "AEST": 600, "AEDT": 660,
 }
 
+#: The regions' zone names by their lower case, as the public time zone database has them.
+ZONES = {z.lower(): z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/", "SystemV/"))}
+
 _NAME = r"(?P<mon>[A-Za-zäéèûôÀ-ÿ]{3,10})\.?"
 _DAY = r"(?P<d>\d{1,2})"
 _CLOCK = r"(?P<h>\d{1,2})[:.](?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,]\d{1,9})?)?(?:\s?(?P<ap>[AaPp])\.?[Mm]\.?)?(?:\s?Uhr)?"
@@ -140,6 +144,8 @@ def components(text: str | None, order: str | None) -> tuple | None:
     if not (hour < 24 or (hour, minute, second) == (24, 0, 0)) or minute > 59 or second > 59:
         return None
     offset, zone = None, g.get("zn")
+    if zone and (zone := ZONES.get(zone.lower())) is None:
+        return None
     if "off" in g:
         raw = g["off"].replace(":", "")
         offset = (-1 if raw[0] == "-" else 1) * (int(raw[1:3]) * 60 + int(raw[3:5] or 0))
@@ -170,7 +176,10 @@ def normalise(df: DataFrame, value: str, zone: str, order: str, to: str = "utc_t
     part = df.withColumn("_parts", _parse(F.col(value), F.col(order)))
     p = lambda name: F.col(f"_parts.{name}")
     local = p("days") * 86400 + p("secs")
-    named = F.coalesce(p("zone"), F.col(zone))
+    # A zone that the JVM does not know would end the query; it is no zone here.
+    known = sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
+    valid = lambda c: F.when(c.isin(*known) | c.rlike(r"^[+-]\d\d:\d\d$"), c)
+    named = F.when(p("zone").isNotNull(), valid(p("zone"))).otherwise(valid(F.col(zone)))
     zoned = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), named))
     instant = F.coalesce(p("epoch"), F.when(p("off").isNotNull(), local - p("off") * 60).otherwise(zoned))
     day = F.date_from_unix_date(p("days").cast("int")).cast("string")

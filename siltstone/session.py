@@ -45,9 +45,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one is made only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); one is made only where none is set on one machine, as in tests.
+
+    On a cluster each executor would write to a disk of its own and reading back would silently miss rows, so it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

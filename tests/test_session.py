@@ -1,3 +1,5 @@
+import pytest
+
 from siltstone import session
 
 
@@ -17,3 +19,23 @@ def test_spread_leaves_many_partitions_alone(spark):
     df = spark.range(0, 100, 1, 50)
     assert session.spread(df) is df
     assert session.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() >= 2
+
+
+def test_no_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session())
+
+
+def test_entry_does_not_hide_errors():
+    """The optional subpackage is looked for; an error within it comes out."""
+    import pathlib
+
+    text = (pathlib.Path(__file__).parent.parent / "__spark_entry__.py").read_text()
+    assert "find_spec" in text and "except" not in text

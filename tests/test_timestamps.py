@@ -30,6 +30,7 @@ B, NY = "Europe/Berlin", "America/New_York"
         ("15:10, 19 Jul 2025", B, "dmy", "2025-07-19T13:10:00Z"), ("July 7, 2021 9:30 am WEST", B, "dmy", "2021-07-07T08:30:00Z"), ("20220815 1206", B, "dmy", "2022-08-15T10:06:00Z"),
         ("2022-12-29 23:59 Europe/Lisbon", B, "dmy", "2022-12-29T23:59:00Z"), ("Tue, 04 May 2021 17:00:00 +0100", B, "dmy", "2021-05-04T16:00:00Z"),
         ("21 June 2024, 11:59 PM (local time)", NY, "mdy", "2024-06-22T03:59:00Z"), ("13/04/2025", None, None, "2025-04-13"), ("05/06/2021", None, None, None),
+        ("2024-05-01 10:00 And/Or", B, "dmy", None), ("2024-05-01 10:00 europe/berlin", NY, "dmy", "2024-05-01T08:00:00Z"), ("2024-05-01 10:00", "No/Where", "dmy", None),
         ("2025-01-01 10:00", None, None, None), ("31.04.2023", B, "dmy", None), ("ongoing", B, "dmy", None), ("", B, "dmy", None), (None, B, "dmy", None), ("x" * 5000, B, "dmy", None),
     ],
 )

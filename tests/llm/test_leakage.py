@@ -38,7 +38,7 @@ def test_against_brute_force(spark, monkeypatch):
     docs += [(100, None), (101, ""), (102, "short"), (103, "w1 " * 5000), (104, docs[0][1])]
     want = brute(docs, items)
     assert want and run(spark, docs, items) == want
-    monkeypatch.setattr(leakage, "BLOCK", 7)
+    monkeypatch.setattr(leakage, "INDEX_SHINGLES", 0)
     assert run(spark, docs, items) == want
 
 
@@ -49,3 +49,13 @@ def test_run_of_eleven_is_no_leak(spark):
 
 def test_empty_tables(spark):
     assert run(spark, [(1, "x " * 30)], [(1, "")]) == [] and run(spark, [(1, None)], [(1, "x " * 30)]) == []
+
+
+def test_many_items_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "INDEX_SHINGLES", 1_000)
+    random.seed(6)
+    vocabulary = [f"v{i}" for i in range(300)]
+    items = [(i, " ".join(random.choices(vocabulary, k=14))) for i in range(20_000)]
+    docs = [(d, " ".join(random.choices(vocabulary, k=30)) + " " + " ".join(items[d * 37][1].split()[d % 3 :]) + " " + " ".join(random.choices(vocabulary, k=9))) for d in range(200)]
+    docs += [(900 + d, docs[0][1]) for d in range(50)]
+    assert run(spark, docs, items) == brute(docs, items)

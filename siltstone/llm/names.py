@@ -32,8 +32,6 @@ from siltstone.sources.tables import table
 TYPO_SHARE, RARE = 0.2, 2
 #: A word is a given name if it stands first so often, and mostly first.
 GIVEN = 5
-#: Rounds of merging, at most; they end by themselves long before.
-ROUNDS = 12
 
 # Short forms of given names and what they stand for.
 NICKNAMES = {
@@ -179,7 +177,7 @@ def persons(spellings: DataFrame) -> DataFrame:
     alone = F.size("full") == 1
     x = F.when(alone, F.coalesce(F.get("initials", F.lit(0)), F.lit(""))).when(swap, F.col("b")).otherwise(F.col("a"))
     y = F.when(alone, F.col("a")).when(swap, F.col("a")).otherwise(F.col("b"))
-    rest = F.when(alone, F.slice("initials", 2, 9)).otherwise(F.concat("initials", F.transform(F.slice("full", 2, F.greatest(F.size("full") - 2, F.lit(0))), lambda w: F.substring(w, 1, 1))))
+    rest = F.when(alone, F.slice("initials", F.lit(2), F.greatest(F.size("initials") - 1, F.lit(0)))).otherwise(F.concat("initials", F.transform(F.slice("full", 2, F.greatest(F.size("full") - 2, F.lit(0))), lambda w: F.substring(w, 1, 1))))
     known = F.when(alone, False).otherwise(F.coalesce(F.when(swap, F.col("sb")).otherwise(F.col("sa")), F.lit(0)) >= GIVEN)
     return p.select("name", "n", x.alias("x"), y.alias("y"), rest.alias("middle"), alone.alias("initial"), known.alias("known")).where(F.col("x") != "")
 
@@ -191,28 +189,33 @@ def _formal(x: Column) -> Column:
 
 
 def _merge(member: DataFrame, edges: DataFrame) -> DataFrame:
-    """member (name, entity, …) after each entity took the smallest entity that an edge (a, b) joins it to."""
+    """member (name, entity, …) after each entity took the smallest entity that an edge (a, b) joins it to, and that one's own;
+    ``fresh`` tells whose entity has changed by that."""
     both = edges.select(F.col("a").alias("entity"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("entity"), F.col("a").alias("to")))
-    best = both.groupBy("entity").agg(F.min("to").alias("to"))
-    return member.join(best, "entity", "left").withColumn("entity", F.least("entity", F.coalesce("to", F.col("entity")))).drop("to")
+    best = both.groupBy("entity").agg(F.min("to").alias("to")).withColumn("to", F.least("entity", "to"))
+    # Labels go two steps a round, so that long chains of spellings take few rounds.
+    best = best.join(best.select(F.col("entity").alias("to"), F.col("to").alias("further")), "to", "left").select("entity", F.coalesce("further", "to").alias("to"))
+    kept = member.drop("fresh").join(best, "entity", "left").withColumn("fresh", F.col("to").isNotNull())
+    return kept.withColumn("entity", F.coalesce("to", "entity")).drop("to")
 
 
 def _rounds(member: DataFrame, edges_of) -> DataFrame:
-    """Merges and matches again until a round finds no edge."""
-    member = session.cut(member)
-    for _ in range(ROUNDS):
+    """Merges and matches again until a round finds no edge; each round merges two entities at least, so it ends."""
+    member = session.cut(member.withColumn("fresh", F.lit(True)))
+    while True:
         edges = session.cut(edges_of(member).select("a", "b").distinct())
         if edges.isEmpty():
-            break
+            return member.drop("fresh")
         member = session.cut(_merge(member, edges))
-    return member
 
 
 def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:
-    """Edges (a, b) of profiles (entity, x, y, n, ways, known) that share the part whole, their other part being one edit apart."""
-    keys = profile.select("entity", "n", "ways", "known", F.col(whole).alias("w"), F.col(edited).alias("e"), F.explode(_deletions(F.col(edited))).alias("d")).where(F.length("e") > 3)
-    other = keys.select("w", "d", F.col("entity").alias("b"), F.col("n").alias("m"), F.col("ways").alias("ways_b"), F.col("e").alias("f"), F.col("known").alias("known_b"))
-    pairs = keys.withColumnRenamed("entity", "a").join(other, ["w", "d"]).where(F.col("a") < F.col("b"))
+    """Edges (a, b) of profiles (entity, x, y, n, ways, known, fresh) that share the part whole, their other part being one edit
+    apart. Two profiles that were compared before and have not changed since are not compared again."""
+    keys = profile.select("entity", "n", "ways", "known", "fresh", F.col(whole).alias("w"), F.col(edited).alias("e"), F.explode(_deletions(F.col(edited))).alias("d")).where(F.length("e") > 3)
+    other = keys.select("w", "d", F.col("entity").alias("b"), F.col("n").alias("m"), F.col("ways").alias("ways_b"), F.col("e").alias("f"), F.col("known").alias("known_b"), (~F.col("fresh")).alias("old"))
+    # The first side has changed; of two changed ones, one order is enough.
+    pairs = keys.where("fresh").withColumnRenamed("entity", "a").drop("fresh").join(other, ["w", "d"]).where((F.col("a") < F.col("b")) | (F.col("old") & (F.col("a") != F.col("b"))))
     low, high = F.least("n", "m"), F.greatest("n", "m")
     pairs = pairs.where((F.least("ways", "ways_b") < 2) | (low <= RARE) | (low <= TYPO_SHARE * high))
     if edited == "x":  # two given names in use are two names
@@ -223,7 +226,7 @@ def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:
 
 def _person_edges(member: DataFrame) -> DataFrame:
     spelt = member.where(~F.col("initial"))
-    profile = spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("known").alias("known"))
+    profile = spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("known").alias("known"), F.max("fresh").alias("fresh"))
     edges = _typing_errors(profile, "x", "y").unionByName(_typing_errors(profile, "y", "x"))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     # A short form of several names stands for the one that the surname has.
@@ -271,7 +274,7 @@ def resolve_persons(spellings: DataFrame) -> DataFrame:
 
 
 def _organisation_edges(member: DataFrame) -> DataFrame:
-    profile = member.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways")).withColumn("known", F.lit(False))
+    profile = member.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("fresh").alias("fresh")).withColumn("known", F.lit(False))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     return _typing_errors(profile, "y", "x").unionByName(same)
 

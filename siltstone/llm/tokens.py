@@ -203,14 +203,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id")
     vocabulary = vocabulary or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     docs = session.spread(docs.select(key, "text"))
     url = write_lexicon(spark, frequent_words(docs), vocabulary)
-    local = url[len("file:") :] if url.startswith("file:") else None
-    if local is None:  # a remote folder: Spark brings the file to each node once
-        spark.sparkContext.addFile(url)
-        name = url.rsplit("/", 1)[1]
+    spark.sparkContext.addFile(url)  # Spark brings the file to each node once, wherever the folder lies
+    name = url.rsplit("/", 1)[1]
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(os.path.normpath(local) if local else SparkFiles.get(name))
+        lexicon = Lexicon(SparkFiles.get(name))
         ranks = load_ranks(vocabulary)
         memo: dict[str, list[int]] = {}
         for frame in batches:

@@ -51,3 +51,19 @@ def test_organisations_chain_and_lookalikes(spark):
 def test_empty(spark):
     assert resolve_persons(frame(spark, [("x y", 1)]).limit(0)).count() == 0
     assert resolve_organisations(frame(spark, [("x y", 1)]).limit(0)).count() == 0
+
+
+def test_a_chain_of_forty_merges(spark):
+    """Each entity is joined to the next only; all end as one."""
+    from pyspark.sql import functions as F
+
+    from siltstone.llm.names import _rounds
+
+    member = spark.createDataFrame([(f"n{i:02}", f"e{i:02}") for i in range(41)], "name string, entity string")
+    links = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "p string, q string")
+
+    def edges(now):
+        a, b = now.select(F.col("name").alias("p"), F.col("entity").alias("a")), now.select(F.col("name").alias("q"), F.col("entity").alias("b"))
+        return links.join(a, "p").join(b, "q").where("a <> b")
+
+    assert {r.entity for r in _rounds(member, edges).collect()} == {"e00"}

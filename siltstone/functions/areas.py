@@ -25,14 +25,24 @@ def area(raw: Column) -> Column:
     return lookup(ALIASES, F.lower(text), text)
 
 
-def layer_weight(layer: Column) -> Column:
-    """C4: weight of evidence of a layer."""
-    return lookup(LAYER_WEIGHTS, F.lower(layer), F.lit(0.5))
+def layer_name(layer: Column) -> Column:
+    """A layer's name without punctuation and blanks, in lower case."""
+    return F.regexp_replace(F.lower(layer), "[^a-z0-9]", "")
+
+
+def layer_weight(layer: Column, explicit: Column | None = None, said: Column | None = None) -> Column:
+    """C4: weight of evidence of a layer. explicit is a weight that the record states, kept within 0 and 1; said is the text of
+    its fields, which may call it emerging demand (0.25 at most) or market validation (0.35 at most)."""
+    name, base = layer_name(layer), lookup(LAYER_WEIGHTS, layer_name(layer), F.lit(0.5))
+    text = F.lower(F.coalesce(said, F.lit(""))) if said is not None else F.lit("")
+    out = F.when((name == "hackathon") | text.contains("emerging_demand"), F.least(base, F.lit(0.25)))
+    out = out.when((name == "investment") | text.contains("market validation"), F.least(base, F.lit(0.35))).otherwise(base)
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), explicit.try_cast("double"))), out) if explicit is not None else out
 
 
 def signal(layer: Column) -> Column:
     """Signal type of a layer."""
-    return lookup(SIGNALS, F.lower(layer), F.lit("general_signal"))
+    return lookup(SIGNALS, layer_name(layer), F.lit("general_signal"))
 
 
 def sql_case(values: dict, key: str, default: str) -> str:

@@ -59,18 +59,22 @@ MONTHLY_SERIES = f"""WITH c AS (SELECT {AREA} AS area, {MONTH} AS month, count(D
 
 
 def trend_direction(spark: SparkSession, folder: str) -> DataFrame:
-    """Direction and confidence of each area's series."""
-    return trends.direction(monthly_series(spark, folder), "area", "month", "units")
+    """Direction and confidence of each area's series, with the independence and research layers of its last month."""
+    e = evidence(spark, folder, area(), _month().alias("month"), "source_id", "evidence_id", "layer").where("month IS NOT NULL AND area IS NOT NULL")
+    research = F.when(~F.lower("layer").isin("investment", "hackathon"), F.lower("layer"))
+    support = e.groupBy("area", "month").agg((F.count_distinct("source_id") / F.count_distinct("evidence_id")).alias("independence"), F.count_distinct(research).alias("layers"))
+    return trends.direction(monthly_series(spark, folder), "area", "month", "units", support)
 
 
 TREND_DIRECTION = f"""WITH m AS ({MONTHLY_SERIES}), w AS (SELECT area, month, CAST(units AS DOUBLE) AS v0, lag(CAST(units AS DOUBLE)) OVER o AS v1, lag(CAST(units AS DOUBLE), 2) OVER o AS v2,
       avg(units) OVER (PARTITION BY area ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean, count(*) OVER o AS n FROM m WINDOW o AS (PARTITION BY area ORDER BY month)),
     l AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY month DESC) AS r FROM w),
-    d AS (SELECT area, month, n, (v0 - v1) / greatest(v1, 1.0) AS g, ((v0 - v1) - (v1 - v2)) / greatest(v1, 1.0) AS a, (v0 - mean) / greatest(mean, 1.0) AS b FROM l WHERE r = 1),
+    q AS (SELECT {AREA} AS area, {MONTH} AS month, count(DISTINCT source_id) / count(DISTINCT evidence_id) AS ind, count(DISTINCT CASE WHEN lower(layer) NOT IN ('investment', 'hackathon') THEN lower(layer) END) AS ly FROM canonical_evidence GROUP BY 1, 2),
+    d AS (SELECT area, month, n, ind, ly, (v0 - v1) / greatest(v1, 1.0) AS g, (v1 - v2) / greatest(v2, 1.0) AS pg, ((v0 - v1) - (v1 - v2)) / greatest(v1, 1.0) AS a, (v0 - mean) / greatest(mean, 1.0) AS b FROM l LEFT JOIN q USING (area, month) WHERE r = 1),
     f AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient_history' WHEN g >= 0.5 AND a >= 0.25 THEN 'accelerating' WHEN g >= 0.25 AND b >= 0.25 AND a >= 0.10 THEN 'rising' WHEN g <= -0.25 AND a <= -0.10 THEN 'declining'
-           WHEN abs(g) <= 0.15 AND abs(b) <= 0.20 THEN 'stable' ELSE 'uncertain' END AS direction FROM d)
-    SELECT area, month, round(g, 6) AS growth, round(a, 6) AS acceleration, round(b, 6) AS baseline, n AS months, direction,
-           round(coalesce(CASE WHEN direction IN ('accelerating', 'rising', 'declining', 'stable') THEN 1.0 ELSE 0.35 END * (0.25 * least(1.0, abs(g)) + 0.20 * least(1.0, abs(b)) + 0.15 * least(1.0, n / 8.0)), 0.0), 6) AS confidence FROM f"""
+           WHEN abs(g) <= 0.15 AND abs(b) <= 0.20 THEN 'stable' ELSE 'ambiguous' END AS direction FROM d)
+    SELECT area, month, round(g, 6) AS growth, round(pg, 6) AS previous_growth, round(a, 6) AS acceleration, round(b, 6) AS baseline, n AS months, direction,
+           round(coalesce(CASE WHEN n < 3 THEN NULL WHEN direction IN ('accelerating', 'rising', 'declining', 'stable') THEN 1.0 ELSE 0.35 END * (0.25 * least(1.0, abs(g)) + 0.20 * least(1.0, abs(b)) + 0.20 * least(1.0, coalesce(ind, 0)) + 0.20 * least(1.0, coalesce(ly, 0) / 3.0) + 0.15 * least(1.0, n / 8.0)), 0.0), 6) AS confidence FROM f"""
 
 
 def topic_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,7 +187,7 @@ POLARITY_COUNTS = """WITH e AS (SELECT DISTINCT problem_signature, lower(problem
 
 
 def ranking_index(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten best evidence rows of each area by strength, quality and title."""
+    """The ten best evidence rows of each area by strength, quality and title."""
     e = evidence(spark, folder, area(), "evidence_id", "title", "evidence_strength", "source_quality").where("area IS NOT NULL").distinct()
     score = F.round(0.6 * F.coalesce("evidence_strength", F.lit(0.0)) + 0.4 * F.coalesce("source_quality", F.lit(0.0)), 6)
     w = Window.partitionBy("area").orderBy(F.desc("score"), F.asc_nulls_first("title"), "evidence_id")

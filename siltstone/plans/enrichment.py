@@ -58,7 +58,7 @@ PROBLEM_SELECTION = r"""WITH d AS (SELECT doc_id, list_filter(list_transform(reg
 
 
 def tag_enrichment(spark: SparkSession, folder: str) -> DataFrame:
-    """Evidence left-joined with its accepted tags (a list per record), counted per layer and number of tags."""
+    """Evidence left-joined with its accepted tags (a list per record), counted per layer and number of tags."""
     tags = gates.tag_decisions(spark, folder).where("decision = 'accepted'").groupBy("evidence_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
     rows = evidence(spark, folder, "evidence_id", "layer").distinct().join(tags, "evidence_id", "left")
     return rows.select("layer", F.coalesce("tags", F.lit("")).alias("tags")).groupBy("layer", "tags").agg(F.count("*").alias("n"))
@@ -82,24 +82,40 @@ SOURCE_RESCORE = f"""WITH e AS (SELECT DISTINCT {HOST.format("source_url")} AS s
     SELECT *, round(least(0.95, 0.45 + 0.08 * least(n, 5) + 0.04 * least(layers, 3)), 4) AS relevance, round(least(0.95, 0.6 + 0.02 * least(n, 4)), 4) AS trust FROM g"""
 
 
+#: Points of the way in which a record was made (fixed values).
+METHODS = {"manual_chat": 15, "local_llm": 10, "fallback": 5}
+
+
 def confidence_blend(spark: SparkSession, folder: str) -> DataFrame:
-    """Per problem signature: capped sums of layers, records, sites and recency, and a label."""
-    e = evidence(spark, folder, "problem_signature", "layer", "evidence_id", urls.host(F.col("source_url")).alias("site"), F.to_date(F.try_to_timestamp("retrieved_at")).alias("day")).where("problem_signature IS NOT NULL").distinct()
-    g = e.groupBy("problem_signature").agg(F.count_distinct("layer").alias("layers"), F.count_distinct("evidence_id").alias("records"), F.count_distinct("site").alias("sites"), F.max("day").alias("day"))
+    """Per problem signature: capped sums of layers, records, sites, method and recency, and a label. Investment and
+    hackathon layers alone give 10 points for layers and 40 in all; investment with one other layer 30, and 70 in all with none
+    or one. The method is a record's normalization_status where that names one."""
+    e = evidence(spark, folder, "problem_signature", F.lower(F.trim("layer")).alias("layer"), "evidence_id", "normalization_status", urls.host(F.col("source_url")).alias("site"), F.to_date(F.try_to_timestamp("retrieved_at")).alias("day")).where("problem_signature IS NOT NULL").distinct()
+    method = areas.lookup(METHODS, F.lower(F.trim("normalization_status")), F.lit(0))
+    research = F.when(~F.col("layer").isin("investment", "hackathon"), F.col("layer"))
+    g = e.groupBy("problem_signature").agg(
+        F.count_distinct("layer").alias("layers"), F.count_distinct(research).alias("research"), F.coalesce(F.max(F.col("layer") == "investment"), F.lit(False)).alias("invested"),
+        F.count_distinct("evidence_id").alias("records"), F.count_distinct("site").alias("sites"), F.max(method).alias("method"), F.max("day").alias("day"),
+    )
     age = F.datediff(F.lit("2026-01-01").cast("date"), F.col("day"))
     recency = F.when(age <= 30, 10).when(age <= 180, 7).when(age <= 365, 4).otherwise(0)
-    total = F.least(20 * F.col("layers"), F.lit(40)) + F.least(10 * F.col("records"), F.lit(20)) + F.least(10 * F.col("sites"), F.lit(20)) + recency
-    return g.select("problem_signature", total.cast("bigint").alias("confidence"), F.when(total >= 70, "High").when(total >= 45, "Medium").otherwise("Low").alias("label"))
+    alone = (F.col("layers") > 0) & (F.col("research") == 0)
+    layers = F.least(20 * F.greatest("layers", F.lit(1)), F.when(alone, 10).when(F.col("invested") & (F.col("research") == 1), 30).otherwise(40))
+    total = layers + F.least(10 * F.col("records"), F.lit(20)) + F.least(10 * F.col("sites"), F.lit(20)) + F.col("method") + recency
+    capped = F.when(alone, F.least(total, F.lit(40))).when(F.col("invested") & (F.col("research") <= 1), F.least(total, F.lit(70))).otherwise(total)
+    label = F.when(alone, "Low").when(F.col("invested") & (F.col("research") <= 1) & (total >= 70), "Medium").when(total >= 70, "High").when(total >= 45, "Medium").otherwise("Low")
+    return g.select("problem_signature", capped.cast("bigint").alias("confidence"), label.alias("label"))
 
 
-CONFIDENCE_BLEND = f"""WITH e AS (SELECT DISTINCT problem_signature, layer, evidence_id, {HOST.format("source_url")} AS site, CAST(TRY_CAST(retrieved_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS DATE) AS day FROM canonical_evidence WHERE problem_signature IS NOT NULL),
-    g AS (SELECT problem_signature, count(DISTINCT layer) AS l, count(DISTINCT evidence_id) AS r, count(DISTINCT site) AS s, date_diff('day', max(day), DATE '2026-01-01') AS age FROM e GROUP BY 1),
-    t AS (SELECT problem_signature, least(20 * l, 40) + least(10 * r, 20) + least(10 * s, 20) + CASE WHEN age <= 30 THEN 10 WHEN age <= 180 THEN 7 WHEN age <= 365 THEN 4 ELSE 0 END AS c FROM g)
-    SELECT problem_signature, CAST(c AS BIGINT) AS confidence, CASE WHEN c >= 70 THEN 'High' WHEN c >= 45 THEN 'Medium' ELSE 'Low' END AS label FROM t"""
+CONFIDENCE_BLEND = f"""WITH e AS (SELECT DISTINCT problem_signature, lower(trim(layer)) AS layer, evidence_id, {areas.sql_case(METHODS, "lower(trim(normalization_status))", "0")} AS m, {HOST.format("source_url")} AS site, CAST(TRY_CAST(retrieved_at AS TIMESTAMPTZ) AT TIME ZONE 'UTC' AS DATE) AS day FROM canonical_evidence WHERE problem_signature IS NOT NULL),
+    g AS (SELECT problem_signature, count(DISTINCT layer) AS l, count(DISTINCT CASE WHEN layer NOT IN ('investment', 'hackathon') THEN layer END) AS q, coalesce(bool_or(layer = 'investment'), false) AS i, count(DISTINCT evidence_id) AS r, count(DISTINCT site) AS s, max(m) AS m, date_diff('day', max(day), DATE '2026-01-01') AS age FROM e GROUP BY 1),
+    t AS (SELECT *, l > 0 AND q = 0 AS alone, least(20 * greatest(l, 1), CASE WHEN l > 0 AND q = 0 THEN 10 WHEN i AND q = 1 THEN 30 ELSE 40 END) + least(10 * r, 20) + least(10 * s, 20) + m + CASE WHEN age <= 30 THEN 10 WHEN age <= 180 THEN 7 WHEN age <= 365 THEN 4 ELSE 0 END AS c FROM g)
+    SELECT problem_signature, CAST(CASE WHEN alone THEN least(c, 40) WHEN i AND q <= 1 THEN least(c, 70) ELSE c END AS BIGINT) AS confidence,
+      CASE WHEN alone THEN 'Low' WHEN i AND q <= 1 AND c >= 70 THEN 'Medium' WHEN c >= 70 THEN 'High' WHEN c >= 45 THEN 'Medium' ELSE 'Low' END AS label FROM t"""
 
 
 def cluster_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Of each problem's soft duplicates the best blended score: .65 cosine + .20 Jaccard + .075 + .075 for the area."""
+    """V2, V3: of each problem's soft duplicates the best blended score: .65 cosine + .20 Jaccard + .075 + .075 for the area."""
     rows = session.cut(_problems(spark, folder))
     p = similarity.jaccard_pairs(rows, SOFT, ["area"])
     score = F.round(0.65 * similarity.pair_cosine(F.col("shared"), F.col("na"), F.col("nb")) + 0.20 * F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")) + 0.15, 6)
@@ -129,18 +145,22 @@ QUERY_MATCH = (
 
 
 def hashed_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """V4: the non-semantic fallback vector of a document: each token adds a sign to one of 384 places, both from its hash;
-    reported by its norm and number of filled places."""
+    """V4: the non-semantic fallback vector of a document, of length 1: each distinct token adds a sign to one of 384 places.
+    The place is the first four bytes of the token's SHA-256, low byte first, modulo 384; the sign is the fifth byte's last bit.
+    Told by its number of filled places, its largest weight and the sum of place times weight."""
     d = table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL")
     t = d.select("doc_id", F.explode(text.tokens_a(F.col("text"))).alias("w")).withColumn("h", F.sha2("w", 256))
-    place, sign = F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") % 384, F.when(F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = t.groupBy("doc_id", place.alias("place")).agg(F.sum(sign).alias("v")).where("v <> 0")
-    return cells.groupBy("doc_id").agg(F.count("*").alias("filled"), F.round(F.sqrt(F.sum(F.col("v") * F.col("v"))), 6).alias("norm"))
+    byte = lambda k: F.conv(F.substring("h", 2 * k + 1, 2), 16, 10).cast("bigint")
+    place = (byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216) % 384
+    cells = t.groupBy("doc_id", place.alias("place")).agg(F.sum(F.when(byte(4) % 2 == 1, 1).otherwise(-1)).alias("v")).where("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")))
+    return cells.groupBy("doc_id").agg(F.count("*").alias("filled"), F.round(F.max(F.abs("v")) / norm, 6).alias("largest"), F.round(F.sum(F.col("place") * F.col("v")) / norm, 4).alias("moment"))
 
 
-HASHED_VECTORS = """WITH t AS (SELECT doc_id, sha256(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')))) AS h FROM documents WHERE text IS NOT NULL),
-    c AS (SELECT doc_id, CAST('0x' || substring(h, 1, 8) AS BIGINT) % 384 AS place, sum(CASE WHEN CAST('0x' || substring(h, 9, 1) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS v FROM t GROUP BY 1, 2)
-    SELECT doc_id, count(*) AS filled, round(sqrt(sum(v * v)), 6) AS norm FROM c WHERE v <> 0 GROUP BY doc_id"""
+_BYTE = "CAST('0x' || substring(h, {}, 2) AS BIGINT)"
+HASHED_VECTORS = f"""WITH t AS (SELECT doc_id, sha256(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{3,}}')))) AS h FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, ({_BYTE.format(1)} + {_BYTE.format(3)} * 256 + {_BYTE.format(5)} * 65536 + {_BYTE.format(7)} * 16777216) % 384 AS place, sum(CASE WHEN {_BYTE.format(9)} % 2 = 1 THEN 1 ELSE -1 END) AS v FROM t GROUP BY 1, 2)
+    SELECT doc_id, count(*) AS filled, round(max(abs(v)) / sqrt(sum(v * v)), 6) AS largest, round(sum(place * v) / sqrt(sum(v * v)), 4) AS moment FROM c WHERE v <> 0 GROUP BY doc_id"""
 QUERIES = {
     "bigrams": (bigrams, BIGRAMS), "negation_windows": (negation_windows, NEGATION_WINDOWS), "problem_selection": (problem_selection, PROBLEM_SELECTION), "tag_enrichment": (tag_enrichment, TAG_ENRICHMENT), "source_rescore": (source_rescore, SOURCE_RESCORE),
     "confidence_blend": (confidence_blend, CONFIDENCE_BLEND), "cluster_scores": (cluster_scores, CLUSTER_SCORES), "query_match": (query_match, QUERY_MATCH), "hashed_vectors": (hashed_vectors, HASHED_VECTORS),

@@ -23,7 +23,7 @@ TAGS = {"#custody": ("custody", "key", "backup"), "#disclosure": ("disclosure",
 
 
 def area_rank(spark: SparkSession, folder: str) -> DataFrame:
-    """Areas of every document by weighted phrase hits: score = raw / max(4, sum of all), the best three."""
+    """Areas of every document by weighted phrase hits: score = raw / max(4, sum of all), the best three."""
     d = table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", text.padded(F.col("text")).alias("pad"))
     raw = {a: sum((text.phrase_count(F.col("pad"), t) * w for t, w in terms.items()), F.lit(0)) for a, terms in AREA_TERMS.items()}
     wide = d.select("doc_id", *[c.alias(f"r{i}") for i, c in enumerate(raw.values())])
@@ -121,6 +121,8 @@ CLAIM_SUPPORT = """WITH e AS (SELECT DISTINCT evidence_id, problem, evidence, ti
     SELECT evidence_id, problem, len(ws) AS words, len(held) AS held, len(held) = len(ws) AS supported, len(v) >= 3 AND len(list_filter(v, lambda x: NOT list_contains(t, x))) = 0 AS echo FROM h"""
 #: Polarity of words (fixed values) and words that qualify a statement.
 POLARITY = {"increase": 1, "increases": 1, "decrease": -1, "decreases": -1, "successfully": 1, "cannot": -1, "fails": -1, "works": 1, "available": 1, "unavailable": -1, "scales": 1, "bottleneck": -1, "supports": 1, "lacks": -1, "sustains": 1, "insufficient": -1, "stable": -1, "exceeds": 1, "below": -1}
+# Words that two statements may share without speaking of one thing.
+COMMON = ["the", "a", "an", "is", "are", "was", "were", "and", "or", "but", "with", "for", "to", "in", "of", "on", "system", "platform", "company", "new", "round", "cannot"]
 QUALIFIERS = ["only", "limited", "partially", "sometimes", "depends", "constrained"]
 
 
@@ -130,7 +132,7 @@ def contradictions(spark: SparkSession, folder: str) -> DataFrame:
     e = e.groupBy("problem_signature", "problem").agg(F.min("evidence_id").alias("evidence_id"))
     words = text.tokens_e(F.col("problem"))
     score = F.aggregate(F.transform(F.array_distinct(words), lambda w: areas.lookup(POLARITY, w, F.lit(0))), F.lit(0), lambda a, x: a + x)
-    rows = e.select("problem_signature", "evidence_id", F.signum(score).cast("int").alias("sign"), F.filter(F.array_distinct(words), lambda w: F.length(w) > 4).alias("w"), F.arrays_overlap(words, F.array(*[F.lit(q) for q in QUALIFIERS])).alias("q"))
+    rows = e.select("problem_signature", "evidence_id", F.signum(score).cast("int").alias("sign"), F.array_except(words, F.array(*[F.lit(c) for c in COMMON])).alias("w"), F.arrays_overlap(words, F.array(*[F.lit(q) for q in QUALIFIERS])).alias("q"))
     first = rows.groupBy("problem_signature").agg(F.min_by(F.struct("sign", "w", "evidence_id"), "evidence_id").alias("f"))
     both = rows.join(first, "problem_signature").where("evidence_id <> f.evidence_id")
     kind = F.when(~F.arrays_overlap("w", "f.w"), "unknown").when(F.col("q"), "qualifying").when(F.col("sign") * F.col("f.sign") < 0, "contradicting").otherwise("supporting")
@@ -140,25 +142,28 @@ def contradictions(spark: SparkSession, folder: str) -> DataFrame:
 _POL = areas.sql_case(POLARITY, "w", "0")
 CONTRADICTIONS = f"""WITH e AS (SELECT problem_signature, problem, min(evidence_id) AS evidence_id FROM canonical_evidence WHERE problem IS NOT NULL AND problem_signature IS NOT NULL GROUP BY ALL),
     k AS (SELECT problem_signature, evidence_id, list_distinct(regexp_extract_all(lower(problem), '[a-z0-9_]+')) AS ws FROM e),
-    r AS (SELECT problem_signature, evidence_id, sign(coalesce(list_sum(list_transform(ws, lambda w: {_POL})), 0)) AS s, list_filter(ws, lambda w: length(w) > 4) AS w, len(list_intersect(ws, {QUALIFIERS})) > 0 AS q FROM k),
+    r AS (SELECT problem_signature, evidence_id, sign(coalesce(list_sum(list_transform(ws, lambda w: {_POL})), 0)) AS s, list_filter(ws, lambda w: NOT list_contains({COMMON}, w)) AS w, len(list_intersect(ws, {QUALIFIERS})) > 0 AS q FROM k),
     f AS (SELECT problem_signature, min(evidence_id) AS fid FROM r GROUP BY 1), g AS (SELECT r.*, x.s AS fs, x.w AS fw FROM r JOIN f USING (problem_signature) JOIN r x ON x.problem_signature = r.problem_signature AND x.evidence_id = fid WHERE r.evidence_id <> fid)
     SELECT problem_signature, evidence_id, CASE WHEN len(list_intersect(w, fw)) = 0 THEN 'unknown' WHEN q THEN 'qualifying' WHEN s * fs < 0 THEN 'contradicting' ELSE 'supporting' END AS kind FROM g"""
 
 
 def signal_strength(spark: SparkSession, folder: str) -> DataFrame:
-    """Signal type and evidence weight of a layer, with the mean stated strength beside it."""
-    e = evidence(spark, folder, "layer", "evidence_strength", "problem")
+    """Signal type and evidence weight of a layer, with the mean stated strength beside it."""
+    e = evidence(spark, folder, "layer", "evidence_strength", "problem", "evidence_type")
     placeholder = F.lower(F.trim(F.coalesce("problem", F.lit("")))).isin("", "unknown", "none", "n/a")
     kind = F.when(placeholder, "general_signal").otherwise(areas.signal(F.col("layer")))
-    return e.select("layer", kind.alias("signal"), areas.layer_weight(F.col("layer")).alias("weight"), "evidence_strength").groupBy("layer", "signal", "weight").agg(F.count("*").alias("n"), F.round(F.avg("evidence_strength"), 6).alias("stated"))
+    return e.select("layer", kind.alias("signal"), areas.layer_weight(F.col("layer"), said=F.col("evidence_type")).alias("weight"), "evidence_strength").groupBy("layer", "signal", "weight").agg(F.count("*").alias("n"), F.round(F.avg("evidence_strength"), 6).alias("stated"))
 
 
-SIGNAL_STRENGTH = f"""SELECT layer, CASE WHEN lower(trim(coalesce(problem, ''))) IN ('', 'unknown', 'none', 'n/a') THEN 'general_signal' ELSE {areas.sql_case(areas.SIGNALS, "lower(layer)", "'general_signal'")} END AS signal,
-    CAST({areas.sql_case(areas.LAYER_WEIGHTS, "lower(layer)", "0.5")} AS DOUBLE) AS weight, count(*) AS n, round(avg(evidence_strength), 6) AS stated FROM canonical_evidence GROUP BY ALL"""
+LAYER_NAME = "regexp_replace(lower(layer), '[^a-z0-9]', '', 'g')"
+_SAID = "lower(coalesce(evidence_type, ''))"
+SIGNAL_STRENGTH = f"""SELECT layer, CASE WHEN lower(trim(coalesce(problem, ''))) IN ('', 'unknown', 'none', 'n/a') THEN 'general_signal' ELSE {areas.sql_case(areas.SIGNALS, LAYER_NAME, "'general_signal'")} END AS signal,
+    CAST(CASE WHEN {LAYER_NAME} = 'hackathon' OR contains({_SAID}, 'emerging_demand') THEN least({areas.sql_case(areas.LAYER_WEIGHTS, LAYER_NAME, "0.5")}, 0.25)
+      WHEN {LAYER_NAME} = 'investment' OR contains({_SAID}, 'market validation') THEN least({areas.sql_case(areas.LAYER_WEIGHTS, LAYER_NAME, "0.5")}, 0.35) ELSE {areas.sql_case(areas.LAYER_WEIGHTS, LAYER_NAME, "0.5")} END AS DOUBLE) AS weight, count(*) AS n, round(avg(evidence_strength), 6) AS stated FROM canonical_evidence GROUP BY ALL"""
 
 
 def interval_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Funding calls whose stated readiness range meets another call's of the same focus: per call the number of
+    """Funding calls whose stated readiness range meets another call's of the same focus: per call the number of
     others, by counting instead of pairing. Ranges are numbers of 1 to 9, so a call meets n minus those that end before it
     or begin after it."""
     digits = F.transform(F.regexp_extract_all("trl", F.lit("[1-9]"), 0), lambda x: x.cast("int"))

@@ -116,3 +116,29 @@ def test_corroborating_evidence(spark, tmp_path):
     got = entry.queries()["corroborating_evidence"](spark, str(tmp_path)).collect()
     # e1 and e7 are an exact duplicate, e1 and e3 soft ones; e4 has another domain, e5 none, e6 shares too little.
     assert sorted((*sorted((r.record_a, r.record_b)), r.similarity) for r in got) == [("e1", "e2", 0.333333), ("e2", "e7", 0.333333), ("e3", "e7", 0.333333)]
+
+
+def test_undated_links_connect_what_all_pairs_would(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from siltstone.operators.graphs import components
+    from siltstone.plans.similarity import undated_links
+
+    rng = random.Random(4)
+    for trial in range(6):
+        rows = [(1, rng.choice("abc"[: 1 + trial % 3]), None if rng.random() < 0.3 else dt.date(2024, 1, 1 + i), f"r{i:02}") for i in range(8)]
+        df = spark.createDataFrame(rows, "pair int, src string, day date, rec string")
+        pairs = [(x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[1] != y[1] and (x[2] is None or y[2] is None)]
+        of = lambda e: {frozenset(r.ids) for r in components(e).groupBy("component").agg(F.collect_set("id").alias("ids")).collect()}
+        want = of(spark.createDataFrame(pairs, "a string, b string")) if pairs else set()
+        assert of(undated_links(df, ["pair"], "src", "day", "rec")) == want
+
+
+def test_a_long_path_is_one_component(spark):
+    from siltstone.operators.graphs import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(600)], "a bigint, b bigint")
+    assert {(r.component) for r in components(edges).collect()} == {0}

@@ -76,6 +76,8 @@ def _piece(line: Column) -> Column:
 
 _SPLIT = re.compile(r"(?<=[.!?])[\"'”’»)]*\s+|[\r\n]+")
 _FINISHED = re.compile(r"[.!?][)\"'”’»]*$|”$|\)$")
+#: Characters that may end a finished sentence.
+_ENDS = ".!?)\"'”’»"
 _NUMBER = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+(?=[\W\d_])")
 _HEAD = re.compile(r"#{1,6} .+")
@@ -103,12 +105,13 @@ def _witnesses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             # A word counts where something follows it; the end of a text is no witness for its own last word.
             counts.update((WORD, w) for w in _WORD.findall(text.lower()))
             for s in _SPLIT.split(text):
-                s = " ".join(s.split())
-                if len(s) > 24 and _FINISHED.search(s, len(s) - 8):
-                    counts[SENTENCE, core(_NUMBER.sub("0", s))] += 1
-                elif s.startswith("#") and _HEAD.fullmatch(s):
-                    counts[TITLE, s] += 1
-                    counts[HEADING, core(s)] += 1
+                if len(s) > 24 and s[-1:] in _ENDS or s[:1] == "#" or s[-1:].isspace() or s[:1].isspace():
+                    s = " ".join(s.split())
+                    if len(s) > 24 and _FINISHED.search(s, len(s) - 8):
+                        counts[SENTENCE, core(_NUMBER.sub("0", s))] += 1
+                    elif s.startswith("#") and _HEAD.fullmatch(s):
+                        counts[TITLE, s] += 1
+                        counts[HEADING, core(s)] += 1
         if len(counts) > KEYS:
             yield out()
             counts.clear()

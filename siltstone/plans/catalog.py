@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone import session
 from siltstone.operators import money_units, packed_values, timestamps
-from siltstone.plans import aggregates, enrichment, gates, merges, scalars, similarity
+from siltstone.plans import aggregates, enrichment, files, gates, merges, scalars, similarity
 from siltstone.sources.tables import table
 from siltstone.streaming import streams
 
@@ -68,6 +68,6 @@ register("p5_found", money_units.p5_found)
 register("p5_review", money_units.p5_review)
 register("p7_found", timestamps.p7_found)
 
-for _module in (scalars, merges, aggregates, similarity, gates, enrichment, streams):
+for _module in (scalars, merges, aggregates, similarity, gates, enrichment, files, streams):
     for _name, (_plan, _sql) in _module.QUERIES.items():
         register(_name, _plan, _sql)

@@ -32,14 +32,22 @@ def json_table(spark: SparkSession, path: str, schema: str, lines: bool = False)
     return df.where(F.col("_broken").isNull()).drop("_broken") if lines else df.where("NOT (" + " AND ".join(f"`{f.name}` IS NULL" for f in full) + ")").drop("_broken")
 
 
-def feed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(title, link, published, summary) of the items of an RSS file; summaries are cut at 400 characters."""
+def feed(spark: SparkSession, path: str, limit: int | None = None, summary: int | None = None) -> DataFrame:
+    """(title, link, published, summary) of the items of an RSS file; summary cuts summaries at so many characters."""
     schema = "title string, link string, pubDate string, description string"
     df = spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
-    out = df.select("title", "link", F.col("pubDate").alias("published"), F.substring(F.regexp_replace("description", "<[^>]+>", " "), 1, 400).alias("summary"))
+    text = F.regexp_replace("description", "<[^>]+>", " ")
+    out = df.select("title", "link", F.col("pubDate").alias("published"), (F.left(text, F.lit(summary)) if summary else text).alias("summary"))
     return out.limit(limit) if limit else out
 
 
+def atom(spark: SparkSession, path: str) -> DataFrame:
+    """The same of the entries of an Atom file."""
+    schema = "title string, link struct<_href:string>, published string, updated string, summary string"
+    df = spark.read.format("xml").option("rowTag", "entry").schema(schema).load(path)
+    return df.select("title", F.col("link._href").alias("link"), F.coalesce("published", "updated").alias("published"), F.regexp_replace("summary", "<[^>]+>", " ").alias("summary"))
+
+
 def flatten_sources(node, path: tuple = ()) -> Iterator[dict]:
     """Every mapping with a name and a url below node, with the keys that lead to it."""
     if isinstance(node, dict):

@@ -1,52 +1,104 @@
-"""Robots policy as a predicate (S19), and a crawl frontier."""
+"""Robots policy as a predicate by RFC 9309 (S19), and a crawl frontier."""
 
 from __future__ import annotations
 
 import re
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone import session
 
+#: Characters that RFC 3986 calls unreserved, and those that paths and patterns keep as they are.
+_UNRESERVED = re.compile(r"[A-Za-z0-9._~-]")
+_KEPT = "/%:@!$&'()*+,;=?#[]-._~"
 
-def parse_robots(text: str, agent: str = "*") -> list[tuple[str, bool]]:
-    """(pattern, allowed) rules that a robots text holds for an agent: its own group if there is one, else that of *."""
-    groups: dict[str, list] = {}
+
+def encoded(text: str) -> str:
+    """text with other characters percent-encoded as UTF-8, escapes in capitals, and unreserved characters decoded."""
+
+    def one(m: re.Match) -> str:
+        char = chr(int(m.group(1), 16))
+        return char if _UNRESERVED.fullmatch(char) else "%" + m.group(1).upper()
+
+    return re.sub("%([0-9A-Fa-f]{2})", one, quote(text, safe=_KEPT))
+
+
+def parse(text: str, agent: str = "*") -> tuple[list[tuple[str, bool]], float, list[str]]:
+    """(rules as (encoded pattern, allowed), crawl delay, sitemaps) of a robots text for an agent.
+
+    All groups that name the agent's product token, in whatever case, hold together; without one those of * do. Lines of user
+    agents follow each other until a rule; a rule before any of them, a line without a colon and an empty rule say nothing.
+    """
+    token = (agent.strip() or "*").split("/")[0].split()[0].lower()
+    held: dict[str, list] = {}
     names: list[str] = []
-    closed = True
+    sitemaps, ruled = [], False
     for raw in text.splitlines():
-        line = raw.split("#", 1)[0].strip()
-        field, _, value = (x.strip() for x in line.partition(":"))
-        if field.lower() == "user-agent":
-            names = [value.lower()] if closed else [*names, value.lower()]
-            closed = False
-            for n in names:
-                groups.setdefault(n, [])
-        elif field.lower() in ("allow", "disallow"):
-            closed = True
-            if value:
+        field, colon, value = (x.strip() for x in raw.split("#", 1)[0].partition(":"))
+        field = field.lower()
+        if not colon:
+            continue
+        if field == "user-agent":
+            if value == "*" or re.fullmatch("[A-Za-z_-]+", value):
+                names = [value.lower()] if ruled else [*names, value.lower()]
+                ruled = False
                 for n in names:
-                    groups[n].append((value, field.lower() == "allow"))
-    own = [n for n in groups if n != "*" and n in agent.lower()]
-    return groups[max(own, key=len)] if own else groups.get("*", [])
+                    held.setdefault(n, [])
+        elif field in ("allow", "disallow", "crawl-delay"):
+            ruled = ruled or bool(names)
+            for n in names:
+                held[n].append((field, value))
+        elif field == "sitemap" and re.match(r"https?://[^/@\s]+(?:/|$)", value):
+            sitemaps.append(value)
+    mine = held[token] if token != "*" and token in held else held.get("*", [])
+    rules = [(encoded(v), f == "allow") for f, v in mine if f != "crawl-delay" and v]
+    delays = [float(v) for f, v in mine if f == "crawl-delay" and re.fullmatch(r"\d+(?:\.\d+)?", v)]
+    return rules, max(delays, default=0.0), list(dict.fromkeys(sitemaps))
+
+
+def parse_robots(text: str, agent: str = "*") -> list[tuple[str, bool]]:
+    """The rules of parse()."""
+    return parse(text, agent)[0]
+
+
+def rules_of(texts: DataFrame, agent: str = "*") -> DataFrame:
+    """(site, pattern, allow) of robots texts (site, text), in Arrow batches."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pattern", T.StringType()), T.StructField("allow", T.BooleanType())])))
+    def parsed(column: pd.Series) -> pd.Series:
+        return column.map(lambda t: [{"pattern": p, "allow": a} for p, a in parse_robots(t or "", agent)])
+
+    return texts.select("site", F.inline(parsed("text")))
+
+
+def rule_regex(pattern: Column) -> Column:
+    """An encoded pattern as a regular expression on an encoded path: * is any run, one final $ the end."""
+    body = F.regexp_replace(pattern, r"\$$", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"([\\.+?^${}()|\[\]])", r"\\$1"), r"\*", ".*")
+    return F.concat(F.lit("^"), body, F.when(pattern.endswith("$"), "$").otherwise(""))
 
 
-def rule_regex(pattern: str) -> str:
-    """The rule's pattern as a regular expression on a path: * is any run, a final $ the end."""
-    end = "$" if pattern.endswith("$") else ""
-    return "^" + re.sub(r"\\\*", ".*", re.escape(pattern.rstrip("$"))) + end
+@F.pandas_udf(T.StringType())
+def _encoded(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: encoded(p) if p is not None else None)
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (site, path, …) with allowed: the longest matching rule of rules (site, pattern, allow) decides, allow on a tie.
+    """urls (site, path, …) with allowed: of rules (site, pattern, allow) that match, the one of most bytes decides, allow on a tie.
 
-    Rules join by site; a URL without a matching rule is allowed.
+    path is what follows the host, query included. Rules join by site; a URL without a matching rule, and /robots.txt itself,
+    is allowed.
     """
-    r = rules.select("site", F.col("allow"), F.length("pattern").alias("n"), F.udf(rule_regex)("pattern").alias("rx"))
-    keyed = urls.withColumn("_id", F.struct("site", "path"))
-    hits = keyed.select("_id", "site", "path").distinct().join(r, "site").where(F.expr("path rlike rx")).groupBy("_id").agg(F.max(F.struct("n", "allow")).alias("best"))
-    return keyed.join(hits, "_id", "left").withColumn("allowed", F.coalesce("best.allow", F.lit(True))).drop("_id", "best")
+    n = F.octet_length("pattern") - F.endswith("pattern", F.lit("$")).cast("int")
+    r = rules.select("site", "allow", n.alias("n"), rule_regex(F.col("pattern")).alias("rx")).distinct()
+    paths = urls.select("site", "path").distinct().withColumn("p", _encoded(F.when(F.col("path") == "", "/").otherwise(F.col("path"))))
+    hits = paths.join(r, "site").where(F.expr("p rlike rx")).groupBy("site", "path").agg(F.max(F.struct("n", "allow")).alias("_best"))
+    free = F.regexp_replace("path", r"\?.*$", "") == "/robots.txt"
+    return urls.join(hits, ["site", "path"], "left").withColumn("allowed", free | F.coalesce("_best.allow", F.lit(True))).drop("_best")
 
 
 def frontier(seeds: DataFrame, links: DataFrame, depth: int, per_source: int | None = None) -> DataFrame:

@@ -72,6 +72,22 @@ def test_robots(spark):
     assert robots.parse_robots(text, "OTHER/1.0") == [("/", False)]
 
 
+def test_robots_by_the_standard(spark):
+    text = "Disallow: /never\nUser-agent: Bot\nUser-agent: Two\nDisallow: /a\nCrawl-delay: 3\n\nUser-agent: robot\nDisallow: /r\n\nuser-agent: BOT\nAllow: /a/\u00e9$\nDisallow:\nno colon\nSitemap: https://x.example/s.xml\nUser-agent: *\nDisallow: /"
+    assert robots.parse(text, "bot/2.1 (+x)") == ([("/a", False), ("/a/%C3%A9$", True)], 3.0, ["https://x.example/s.xml"])
+    assert robots.parse_robots(text, "robot") == [("/r", False)] and robots.parse_robots(text, "other") == [("/", False)]
+    rules = spark.createDataFrame([("s", p, ok) for p, ok in robots.parse_robots(text, "Two") + robots.parse_robots(text, "bot")] + [("s", "/p$$", False), ("s", "/t", False), ("s", "/t", True)], "site string, pattern string, allow boolean")
+    paths = ["/a", "/a/\u00e9", "/a/%c3%a9", "/a/\u00e9x", "/p$", "/p", "/t1", "", "/robots.txt", "/robots.txt?x=1"]
+    urls = spark.createDataFrame([("s", p) for p in paths], "site string, path string")
+    got = {r.path: r.allowed for r in robots.allowed(urls, rules).collect()}
+    assert [got[p] for p in paths] == [False, True, True, False, False, True, True, True, True, True]
+
+
+def test_atom(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<feed><entry><title>T</title><link href='https://a.example/1'/><updated>2024-01-02</updated><summary>&lt;b&gt;x&lt;/b&gt;</summary></entry></feed>")
+    assert [tuple(r) for r in files.atom(spark, str(tmp_path / "a.xml")).collect()] == [("T", "https://a.example/1", "2024-01-02", " x ")]
+
+
 def test_frontier(spark):
     links = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), ("b", "d", 1.0), ("c", "a", 1.0), ("d", "e", 1.0)], "source string, target string, score double")
     seeds = spark.createDataFrame([("a",)], "url string")

@@ -242,9 +242,10 @@ def _texts(ends: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(F.length("body") < BEGIN, F.lit(BEGINNING)).otherwise(F.lit(TEXT)).alias("kind")
     asks = ends.select("doc_id", kind, F.col("body").alias("v"))
     start = lambda c: F.xxhash64(F.left(c, F.lit(BEGIN))).alias("s")
-    begins = asks.where(F.col("kind") == TEXT).select(start(F.col("v"))).distinct()
-    near = docs.where(F.length("text") > BEGIN).select("doc_id", start(F.col("text"))).join(begins, "s", "left_semi").select("doc_id")
-    long = docs.join(near, "doc_id", "left_semi").select(F.lit(TEXT).alias("kind"), _core("text").alias("v"))
+    # The hashes are written, so that their size is known to the join; while they are few, no text is moved.
+    begins = session.cut(asks.where(F.col("kind") == TEXT).select(start(F.col("v"))).distinct())
+    near = docs.where(F.length("text") > BEGIN).select("text", start(F.col("text"))).join(begins, "s", "left_semi")
+    long = near.select(F.lit(TEXT).alias("kind"), _core("text").alias("v"))
     short = docs.select(F.lit(BEGINNING).alias("kind"), F.regexp_replace(F.left("text", F.lit(BEGIN)), r"\P{L}+$", "").alias("v"))
     return asks, long.unionByName(short).where("v <> ''").distinct()
 

@@ -83,7 +83,7 @@ INDEPENDENCE_GROUP = f"""WITH e AS (SELECT DISTINCT evidence_id, source_id, cont
 
 
 def registry_sync(spark: SparkSession, folder: str) -> DataFrame:
-    """Sites of the crawl cache as registry, sites of the evidence as configuration."""
+    """Sites of the crawl cache as registry, sites of the evidence as configuration."""
     known = table(spark, folder, "crawl_cache", urls.host(F.col("final_url")).alias("site"), "status_code").where(F.col("site").isNotNull())
     known = known.groupBy("site").agg(F.when(F.max("status_code") < 400, "active").otherwise("failing").alias("status"))
     wanted = evidence(spark, folder, urls.host(F.col("source_url")).alias("site")).where(F.col("site").isNotNull()).distinct()

@@ -85,3 +85,38 @@ def jaccard(a: Column, b: Column) -> Column:
     """V1: |a ∩ b| / |a ∪ b| of two token sets; 0 if either is empty."""
     shared = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def slug(value: Column, blank: str = "item") -> Column:
+    """Lower case, everything but ASCII letters and digits as one hyphen, none at the ends; blank where nothing is left."""
+    out = F.regexp_replace(F.regexp_replace(F.lower(F.trim(value)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(out, F.lit("")), F.lit(blank))
+
+
+def capitalised(words: Column) -> Column:
+    """Each word between blanks with a capital first letter, hyphens and underscores as blanks."""
+    return F.initcap(F.trim(F.regexp_replace(words, "[-_]+", " ")))
+
+
+def title_from_url(url: Column, fallback: Column) -> Column:
+    """The last part of a URL's path as a title, else its host, else fallback."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/+$", "")
+    tail, host = F.substring_index(path, "/", -1), F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    return F.coalesce(F.nullif(capitalised(F.coalesce(F.nullif(tail, F.lit("")), F.nullif(host, F.lit("")))), F.lit("")), fallback)
+
+
+def name_from_url(url: Column, fallback: Column) -> Column:
+    """The first label of a URL's host, without www., as a name, else fallback."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)
+    return F.coalesce(F.nullif(capitalised(F.substring_index(F.replace(host, F.lit("www."), F.lit("")), ".", 1)), F.lit("")), fallback)
+
+
+def sanitized(items: Column, most: int = 6) -> Column:
+    """Items with white space collapsed, without blanks and repeats in other case, at most so many, the first ones."""
+    texts = F.filter(F.transform(items, clean), lambda x: x != "")
+    return F.slice(F.filter(texts, lambda x, i: F.array_position(F.transform(texts, F.lower), F.lower(x)) == i + 1), 1, most)
+
+
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object with sorted keys, no blanks between, other scripts kept, for hashing; a null is an empty text."""
+    return F.to_json(F.struct(*[F.coalesce(fields[k], F.lit("")).alias(k) for k in sorted(fields)]))

@@ -198,7 +198,30 @@ HTML_EXTRACT = r"""WITH p AS (SELECT url, html, trim(regexp_replace(regexp_repla
     SELECT url, trim(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1)) AS page_title, len(regexp_extract_all(html, '(?i)<a [^>]*href="([^"]*)"', 1)) AS links,
            len(regexp_extract_all(html, '(?i)<(h[1-3]|p|li)\b', 1)) AS blocks, sha256(plain) AS text_hash,
            length(plain) < 400 AND regexp_matches(lower(plain), 'not found|404|forbidden|access denied|unavailable|enable javascript') AS soft_error FROM p"""
+def names_and_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every company its slug, title and name from its URL, cleaned keywords and the hash of its content."""
+    c = table(spark, folder, "company_data", "id", "company_name", "url", "keywords", "problem")
+    words = text.sanitized(F.split("keywords", r"[;,|\n]"))
+    content = text.canonical_json(problem=F.col("problem"), company_name=F.col("company_name"))
+    return c.select(
+        "id", text.slug(F.col("company_name")).alias("slug"), text.title_from_url(F.col("url"), F.lit("Untitled")).alias("title"), text.name_from_url(F.col("url"), F.lit("Unknown")).alias("name"),
+        F.coalesce(F.array_join(words, "|"), F.lit("")).alias("words"), F.sha2(content, 256).alias("content_hash"),
+    )
+
+
+_CAPITALS = "array_to_string(list_transform(string_split(trim(regexp_replace({}, '[-_]+', ' ', 'g')), ' '), lambda w: upper(left(w, 1)) || lower(substring(w, 2))), ' ')"
+NAMES_AND_HASHES = rf"""WITH c AS (SELECT id, company_name, problem, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '/')[-1] AS tail,
+      list_filter(list_transform(regexp_split_to_array(keywords, '[;,|
+]'), lambda x: trim(regexp_replace(x, '[ 	
+]+', ' ', 'g'))), lambda x: x <> '') AS w FROM company_data)
+    SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(company_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'item') AS slug,
+      coalesce(nullif({_CAPITALS.format("coalesce(nullif(tail, ''), nullif(host, ''))")}, ''), 'Untitled') AS title, coalesce(nullif({_CAPITALS.format("string_split(replace(string_split(host, ':')[1], 'www.', ''), '.')[1]")}, ''), 'Unknown') AS name,
+      coalesce(array_to_string(list_filter(w, lambda x, i: list_position(list_transform(w, lambda y: lower(y)), lower(x)) = i)[1:6], '|'), '') AS words,
+      sha256(CAST(json_object('company_name', coalesce(company_name, ''), 'problem', coalesce(problem, '')) AS VARCHAR)) AS content_hash FROM c"""
+
+
 QUERIES = {
+    "names_and_hashes": (names_and_hashes, NAMES_AND_HASHES),
     "url_canonical": (url_canonical, URL_CANONICAL), "url_domain_counts": (url_domain_counts, URL_DOMAIN_COUNTS), "text_clean": (text_clean, TEXT_CLEAN), "token_stats": (token_stats, TOKEN_STATS),
     "keyword_hits": (keyword_hits, KEYWORD_HITS), "text_structure": (text_structure, TEXT_STRUCTURE), "md_sections": (md_sections, MD_SECTIONS), "md_bullet_map": (md_bullet_map, MD_BULLET_MAP),
     "json_fields": (json_fields, JSON_FIELDS), "hash_ids": (hash_ids, HASH_IDS), "date_parts": (date_parts, DATE_PARTS), "html_extract": (html_extract, HTML_EXTRACT),

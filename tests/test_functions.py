@@ -55,3 +55,15 @@ def test_trends(spark):
     got = {r.k: r.direction for r in trends.direction(series, "k", "m", "v").collect()}
     assert got["up"] == "accelerating" and got["flat"] == "stable"
     assert trends.dense_months(spark.createDataFrame([], "k string, m string, v int"), "k", "m", "v").count() == 0
+
+
+def test_names_and_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone.functions import text
+
+    rows = [("  Ünit & Co. Labs  ", "https://www.big-site.example:80/a/the_new-plan/?q=1", ["A  b", "a B", "", " c ", "d", "e", "f", "g"]), ("—", "https://host.example", None), (None, None, [])]
+    df = spark.createDataFrame(rows, "n string, u string, w array<string>")
+    got = [tuple(r) for r in df.select(text.slug(F.col("n")), text.title_from_url(F.col("u"), F.lit("-")), text.name_from_url(F.col("u"), F.lit("-")), text.sanitized(F.col("w"), 4), text.canonical_json(b=F.col("n"), a=F.lit(None).cast("string"))).collect()]
+    assert got[0] == ("nit-co-labs", "The New Plan", "Big Site", ["A b", "c", "d", "e"], '{"a":"","b":"  Ünit & Co. Labs  "}')
+    assert got[1][:4] == ("item", "Host.example", "Host", None) and got[2][:4] == ("item", "-", "-", [])

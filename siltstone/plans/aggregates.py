@@ -199,32 +199,34 @@ RANKING_INDEX = f"""WITH e AS (SELECT DISTINCT {AREA} AS area, evidence_id, titl
     r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY score DESC, title NULLS FIRST, evidence_id) AS rank FROM s) SELECT area, rank, evidence_id, score FROM r WHERE rank <= 10"""
 
 
+def _paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, ps): the paragraphs of every document that are not blank; a text without blank lines is one."""
+    docs = table(spark, folder, "documents", "doc_id", "text").where("text IS NOT NULL")
+    return docs.select("doc_id", F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("")), r"\n\n+"), lambda p: F.trim(p) != "").alias("ps"))
+
+
 def excerpt_windows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every paragraph of a document with its neighbours, cut to 600 characters."""
-    docs = table(spark, folder, "documents", "doc_id", "text").where(F.col("text").contains("\n"))
-    paras = docs.select("doc_id", F.posexplode(F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("")), r"\n\n+"), lambda p: F.trim(p) != "")).alias("pos", "para"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    joined = F.concat_ws(" ", F.lag("para").over(w), F.col("para"), F.lead("para").over(w))
-    return paras.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.substring(joined, 1, 600).alias("window"))
+    """Every paragraph of a document with its neighbours, cut to 600 characters; within the row, so nothing is moved."""
+    around = lambda p, i: F.left(F.concat_ws(" ", F.get("ps", i - 1), p, F.get("ps", i + 1)), F.lit(600))
+    rows = _paragraphs(spark, folder).select("doc_id", F.posexplode(F.transform("ps", around)).alias("pos", "window"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "window")
 
 
-EXCERPT_WINDOWS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(13), ''), '\n\n+'), lambda p: trim(p) <> '') AS ps FROM documents WHERE contains(text, chr(10))),
+EXCERPT_WINDOWS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(13), ''), '\n\n+'), lambda p: trim(p) <> '') AS ps FROM documents WHERE text IS NOT NULL),
     p AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM d)
     SELECT doc_id, pos, substring(concat_ws(' ', lag(para) OVER w, para, lead(para) OVER w), 1, 600) AS "window" FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos)"""
 
 
 def focused_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """The two paragraphs of each document with most digits and capitals, and their neighbours, in page order."""
-    docs = table(spark, folder, "documents", "doc_id", "text").where(F.col("text").contains("\n"))
-    paras = docs.select("doc_id", F.posexplode(F.filter(F.split(F.replace("text", F.lit("\r"), F.lit("")), r"\n\n+"), lambda p: F.trim(p) != "")).alias("pos", "para"))
-    score = F.length(F.regexp_replace("para", "[^0-9A-Z]", ""))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("score"), F.desc(F.length("para")), "pos")
-    top = paras.withColumn("score", score).withColumn("r", F.row_number().over(best)).where("r <= 2")
-    near = top.select("doc_id", F.explode(F.array(F.col("pos") - 1, F.col("pos"), F.col("pos") + 1)).alias("pos")).distinct()
-    return paras.join(near, ["doc_id", "pos"], "left_semi").select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sha2("para", 256).alias("block"))
+    ranked = F.array_sort(F.transform("ps", lambda p, i: F.struct((-F.length(F.regexp_replace(p, "[^0-9A-Z]", ""))).alias("score"), (-F.length(p)).alias("size"), i.alias("pos"))))
+    top = F.transform(F.slice(ranked, 1, 2), lambda x: x["pos"])
+    rows = _paragraphs(spark, folder).select("doc_id", "ps", top.alias("top"))
+    kept = F.filter(F.transform("ps", lambda p, i: F.struct(i.cast("bigint").alias("pos"), F.sha2(p, 256).alias("block"))), lambda x: F.exists("top", lambda t: F.abs(t - x["pos"]) <= 1))
+    return rows.select("doc_id", F.inline(kept))
 
 
-FOCUSED_BLOCKS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(13), ''), '\n\n+'), lambda p: trim(p) <> '') AS ps FROM documents WHERE contains(text, chr(10))),
+FOCUSED_BLOCKS = r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(replace(text, chr(13), ''), '\n\n+'), lambda p: trim(p) <> '') AS ps FROM documents WHERE text IS NOT NULL),
     p AS (SELECT doc_id, unnest(range(len(ps))) AS pos, unnest(ps) AS para FROM d), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(regexp_replace(para, '[^0-9A-Z]', '', 'g')) DESC, length(para) DESC, pos) AS r FROM p),
     n AS (SELECT DISTINCT doc_id, unnest([pos - 1, pos, pos + 1]) AS pos FROM s WHERE r <= 2) SELECT doc_id, pos, sha256(para) AS block FROM p JOIN n USING (doc_id, pos)"""
 

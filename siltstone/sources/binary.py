@@ -59,23 +59,38 @@ def pdf_text(data: bytes) -> str | None:
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages[:PDF_PAGES])
 
 
+def cut_short(kind: str, data: bytes) -> bool:
+    """Whether a file has more than the bounds let be read: pages of a PDF, bytes of a part of an archive."""
+    if kind != "pdf":
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            return any(part.file_size > PART_BYTES for part in z.infolist() if part.filename.endswith(".xml"))
+    try:
+        from pypdf import PdfReader
+    except ImportError:
+        return False
+    return len(PdfReader(io.BytesIO(data)).pages) > PDF_PAGES
+
+
 READERS = {"docx": docx_text, "xlsx": xlsx_text, "pdf": pdf_text}
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("truncated", T.BooleanType()), T.StructField("error", T.StringType())]))
 def _text(paths: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    texts, errors = [], []
+    texts, cut, errors = [], [], []
     for path, data in zip(paths, contents):
         try:
-            text, error = READERS[path.rsplit(".", 1)[-1].lower()](data), None
+            kind = path.rsplit(".", 1)[-1].lower()
+            text, short, error = READERS[kind](data), cut_short(kind, data), None
         except Exception as e:  # a broken file is a row with its error
-            text, error = None, f"{type(e).__name__}: {e}"[:200]
+            text, short, error = None, None, f"{type(e).__name__}: {e}"[:200]
         texts.append(text)
+        cut.append(short)
         errors.append(error)
-    return pd.DataFrame({"text": texts, "error": errors}, dtype=object)
+    return pd.DataFrame({"text": texts, "truncated": cut, "error": errors}, dtype=object)
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text, error) of the DOCX, XLSX and PDF files below a folder; a file that cannot be read keeps its error."""
+    """(path, text, truncated, error) of the DOCX, XLSX and PDF files below a folder; a file that cannot be read keeps its
+    error, and truncated tells that it has more than PDF_PAGES or PART_BYTES let be read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{docx,xlsx,pdf}").load(path)
     return files.select("path", _text("path", "content").alias("t")).select("path", "t.*")

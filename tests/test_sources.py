@@ -109,4 +109,5 @@ def test_binary_documents(spark, tmp_path):
     (tmp_path / "d.txt").write_text("not read")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error) for r in binary.documents(spark, str(tmp_path)).collect()}
     assert got["a.docx"] == ("Hello A&B\nSecond", None) and got["b.xlsx"] == ("name\tvalue\n7\tx", None)
+    assert {r.truncated for r in binary.documents(spark, str(tmp_path)).collect() if r.error is None} == {False}
     assert got["c.docx"][0] is None and "BadZipFile" in got["c.docx"][1] and len(got) == 3

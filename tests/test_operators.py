@@ -20,6 +20,21 @@ def test_jaccard_pairs_against_brute_force(spark):
     assert similarity.jaccard_pairs(df.limit(0), 0.5).count() == 0
 
 
+def test_jaccard_pairs_at_the_threshold(spark):
+    # 0.28 * 25 is more than 7 in binary.
+    df = spark.createDataFrame([(1, list(range(7))), (2, list(range(25)))], "id int, elements array<int>")
+    assert [(r.a, r.b, r.shared, r.na, r.nb) for r in similarity.jaccard_pairs(df, 0.28).collect()] == [(1, 2, 7, 7, 25)]
+
+
+def test_jaccard_pairs_moves_few_candidates(spark):
+    # 300 sets share their rarest words in pairs of groups, but not the others: 45,000 candidates by prefix, hardly any by signature.
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "x", [f"r{i % 3}", *rng.sample([f"w{j}" for j in range(400)], 15)]) for i in range(300)] + [(300, "x", ["r0"])], "id int, area string, elements array<string>")
+    rows = similarity._ordered(df, ["area"])
+    assert rows.count() == 301 and similarity._candidates(rows, 0.6).count() < 30
+    assert similarity.jaccard_pairs(df, 0.6, ["area"]).count() == 0
+
+
 def test_token_and_vector_search(spark):
     random.seed(3)
     tokens = {i: random.sample("abcdefghij", random.randint(0, 6)) for i in range(40)}

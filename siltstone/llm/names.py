@@ -226,7 +226,8 @@ def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:
 
 def _person_edges(member: DataFrame) -> DataFrame:
     spelt = member.where(~F.col("initial"))
-    profile = spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("known").alias("known"), F.max("fresh").alias("fresh"))
+    # Written once: each of the plans below would else hold all that makes a profile, and the driver keeps every plan.
+    profile = session.cut(spelt.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("known").alias("known"), F.max("fresh").alias("fresh")))
     edges = _typing_errors(profile, "x", "y").unionByName(_typing_errors(profile, "y", "x"))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     # A short form of several names stands for the one that the surname has.
@@ -241,7 +242,7 @@ def _person_edges(member: DataFrame) -> DataFrame:
 def _initial_edges(member: DataFrame, spelt: DataFrame) -> DataFrame:
     """An initial with a surname joins the one profile that it can stand for."""
     firsts = F.array_distinct(F.array(F.substring("x", 1, 1), F.substring("given", 1, 1)))
-    full = spelt.select("entity", "y", F.explode(firsts).alias("i"), "middle").groupBy("entity", "y", "i").agg(F.array_distinct(F.flatten(F.collect_set("middle"))).alias("has"))
+    full = session.cut(spelt.select("entity", "y", F.explode(firsts).alias("i"), "middle").groupBy("entity", "y", "i").agg(F.array_distinct(F.flatten(F.collect_set("middle"))).alias("has")))
     short = member.where("initial").select(F.col("entity").alias("a"), "y", F.col("x").alias("i"), "middle").distinct()
     exact = short.join(full, ["y", "i"]).where(F.col("a") != F.col("entity"))
     # A surname that no such profile has may be mistyped.
@@ -274,7 +275,8 @@ def resolve_persons(spellings: DataFrame) -> DataFrame:
 
 
 def _organisation_edges(member: DataFrame) -> DataFrame:
-    profile = member.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("fresh").alias("fresh")).withColumn("known", F.lit(False))
+    profile = member.groupBy("entity", "x", "y").agg(F.sum("n").alias("n"), F.count("*").alias("ways"), F.max("fresh").alias("fresh"))
+    profile = session.cut(profile.withColumn("known", F.lit(False)))
     same = profile.groupBy("x", "y").agg(F.min("entity").alias("a"), F.max("entity").alias("b")).where("a < b").select("a", "b")
     return _typing_errors(profile, "y", "x").unionByName(same)
 

@@ -67,3 +67,15 @@ def test_a_chain_of_forty_merges(spark):
         return links.join(a, "p").join(b, "q").where("a <> b")
 
     assert {r.entity for r in _rounds(member, edges).collect()} == {"e00"}
+
+
+def test_profiles_are_written_once(spark):
+    from pyspark.sql import functions as F
+
+    from siltstone import session
+    from siltstone.llm import names
+
+    rows = names.persons(spark.createDataFrame([("Ann Lee", 3), ("A. Lee", 1)], "name string, n bigint"))
+    member = session.cut(rows.withColumns({"given": F.col("x"), "entity": F.col("name"), "fresh": F.lit(True)}))
+    # The driver keeps every plan; with the profiles of persons in it eight times it had 118 operators.
+    assert len(names._person_edges(member)._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 100

@@ -35,23 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, leader): G1. Nodes (id) in the order of their ids: a node joins the smallest leader that an edge (a, b) joins it
-    to, else leads itself; no chains. The leaders are the lexicographically first maximal independent set of the edges.
+    """(id, leader): G1. Nodes (id) in the order of their ids: a node joins the smallest leader that an edge (a, b) of nodes joins
+    it to, else leads itself; no chains. The leaders are the lexicographically first maximal independent set of the edges.
 
     In each round an undecided node without a smaller undecided neighbour becomes a leader and its undecided neighbours
-    become members.
+    become members, whose edges are dropped. A round moves what is left of the edges alone: nodes without edges take no
+    part, and all nodes that became no member lead.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = session.cut(both)
-    state = session.cut(nodes.select("id").distinct().withColumn("role", F.lit(None).cast("string")))
-    while not state.where("role IS NULL").isEmpty():
-        open_ = state.where("role IS NULL").select(F.col("id").alias("b"))
-        blocked = both.join(open_, "b").where("b < a").select(F.col("a").alias("id")).distinct()
-        fresh = state.where("role IS NULL").join(blocked, "id", "left_anti").select("id")
-        members = both.join(fresh.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        marked = state.join(fresh.withColumn("new", F.lit("leader")), "id", "left").join(members.withColumn("mem", F.lit("member")), "id", "left")
-        state = session.cut(marked.select("id", F.coalesce("role", "new", "mem").alias("role")))
-    lead = state.where("role = 'leader'").select(F.col("id").alias("b"))
-    joined = both.join(lead, "b").groupBy("a").agg(F.min("b").alias("leader"))
-    out = state.join(joined, state.id == joined.a, "left")
-    return out.select("id", F.when(F.col("role") == "leader", F.col("id")).otherwise(F.col("leader")).alias("leader"))
+    both = session.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    left, members = both, None
+    while not left.isEmpty():
+        fresh = left.groupBy("a").agg(F.min("b").alias("m")).where("a < m").select(F.col("a").alias("b"))
+        found = session.cut(left.join(fresh, "b", "left_semi").select(F.col("a").alias("id")).distinct())
+        members = found if members is None else members.unionByName(found)
+        left = session.cut(left.join(found.withColumnRenamed("id", "a"), "a", "left_anti").join(found.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"))
+    ids = nodes.select("id").distinct()
+    if members is None:
+        return ids.select("id", F.col("id").alias("leader"))
+    joined = both.join(members.withColumnRenamed("id", "b"), "b", "left_anti").join(members.withColumnRenamed("id", "a"), "a", "left_semi").groupBy("a").agg(F.min("b").alias("leader"))
+    return ids.join(joined.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("leader", "id").alias("leader"))

@@ -35,6 +35,24 @@ def test_jaccard_pairs_moves_few_candidates(spark):
     assert similarity.jaccard_pairs(df, 0.6, ["area"]).count() == 0
 
 
+def test_jaccard_pairs_of_few_words_are_counted_in_stripes(spark, monkeypatch):
+    # Prefixes of 8 of 30 words meet nearly as often as there are pairs, so no candidates are moved.
+    from siltstone.operators import stripes
+
+    rng = random.Random(4)
+    sets = {i: sorted(f"w{j}" for j in rng.sample(range(30), rng.randint(8, 20))) for i in range(150)}
+    sets[150] = sorted(f"w{j}" for j in range(300))
+    sets[151] = sorted(f"w{j}" for j in range(1, 301))
+    df = spark.createDataFrame([((i, f"n{i}"), "x" if i % 3 else "y", s) for i, s in sets.items()], "id struct<k:int, name:string>, area string, elements array<string>")
+    want = {(a, b, len(set(sets[a]) & set(sets[b]))) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.6 * len(set(sets[a]) | set(sets[b])) - 1e-9}
+    for tile, stripe, dense in (((1024, 8192), 16384, 1 / 300), ((7, 11), 40, 0.3)):
+        for name, value in (("HIGH", tile[0]), ("WIDE", tile[1]), ("STRIPE", stripe), ("DENSE", dense), ("OUT", 5)):
+            monkeypatch.setattr(stripes, name, value)
+        assert similarity._striped(df, similarity._order(df, []), 0.6, []) is not None
+        assert sorted((r.a.k, r.b.k, r.shared) for r in similarity.jaccard_pairs(df, 0.6).collect()) == sorted(want)
+        assert sorted((r.a.k, r.b.k, r.shared) for r in similarity.jaccard_pairs(df, 0.6, ["area"]).collect()) == sorted(w for w in want if (w[0] % 3 > 0) == (w[1] % 3 > 0))
+
+
 def test_token_and_vector_search(spark):
     random.seed(3)
     tokens = {i: random.sample("abcdefghij", random.randint(0, 6)) for i in range(40)}

@@ -53,6 +53,14 @@ def test_jaccard_pairs_of_few_words_are_counted_in_stripes(spark, monkeypatch):
         assert sorted((r.a.k, r.b.k, r.shared) for r in similarity.jaccard_pairs(df, 0.6, ["area"]).collect()) == sorted(w for w in want if (w[0] % 3 > 0) == (w[1] % 3 > 0))
 
 
+def test_jaccard_pairs_of_evidence_move_no_candidates(spark):
+    # About 17 of 1,008 words, of which all are in use: prefixes meet once in about 25 pairs, and the join moved those that its filters left.
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, "x", [f"w{int(1008 * j)}" for j in (rng.random() for _ in range(17))]) for i in range(1500)], "id int, area string, elements array<string>")
+    df = df.withColumn("elements", F.array_distinct("elements"))
+    assert similarity._striped(df, similarity._order(df, ["area"]), 0.6, ["area"]) is not None
+
+
 def test_token_and_vector_search(spark):
     random.seed(3)
     tokens = {i: random.sample("abcdefghij", random.randint(0, 6)) for i in range(40)}

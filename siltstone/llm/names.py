@@ -201,12 +201,13 @@ def _merge(member: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _rounds(member: DataFrame, edges_of) -> DataFrame:
     """Merges and matches again until a round finds no edge; each round merges two entities at least, so it ends."""
-    member = session.cut(member.withColumn("fresh", F.lit(True)))
-    while True:
-        edges = session.cut(edges_of(member).select("a", "b").distinct())
-        if edges.isEmpty():
-            return member.drop("fresh")
-        member = session.cut(_merge(member, edges))
+    with session.plain(member.sparkSession):
+        member = session.cut(member.withColumn("fresh", F.lit(True)))
+        while True:
+            edges = session.cut(edges_of(member).select("a", "b").distinct())
+            if edges.isEmpty():
+                return member.drop("fresh")
+            member = session.cut(_merge(member, edges))
 
 
 def _typing_errors(profile: DataFrame, whole: str, edited: str) -> DataFrame:

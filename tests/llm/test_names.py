@@ -79,3 +79,18 @@ def test_profiles_are_written_once(spark):
     member = session.cut(rows.withColumns({"given": F.col("x"), "entity": F.col("name"), "fresh": F.lit(True)}))
     # The driver keeps every plan; with the profiles of persons in it eight times it had 118 operators.
     assert len(names._person_edges(member)._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 100
+
+
+def test_rounds_compile_no_stages_on_the_driver(spark):
+    from siltstone.llm.names import _rounds
+
+    name, seen = "spark.sql.codegen.wholeStage", []
+    before = spark.conf.get(name)
+    member = spark.createDataFrame([("a", "a"), ("b", "b")], "name string, entity string")
+
+    def edges(m):
+        seen.append(spark.conf.get(name))
+        return m.where("entity = 'b'").selectExpr("'a' AS a", "entity AS b")
+
+    assert {r.entity for r in _rounds(member, edges).collect()} == {"a"}
+    assert seen == ["false", "false"] and spark.conf.get(name) == before
